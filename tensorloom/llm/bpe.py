@@ -251,7 +251,7 @@ def decode_column(packed: Column | str, vocab: str, pattern: str) -> Column:
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = ByteBpe.load(vocab, pattern)
         for ids in batches:
-            yield pa.array([None if p is None else codec.decode(p) for p in map(pa.Scalar.as_py, ids)], pa.string())
+            yield pa.array([None if p is None else codec.decode(p) for p in ids.to_pylist()], pa.string())
 
     return decode(packed)
 
