@@ -33,7 +33,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Held per Python worker, so that tasks of one executor share the states.
-_CODECS: dict[tuple[str, str], "ByteBpe"] = {}
+_ENCODERS: dict[tuple[str, str], "ByteBpe"] = {}
+_DECODERS: dict[str, "ByteDecoder"] = {}
+
+
+def read_ranks(path: str) -> dict[bytes, int]:
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
 class _State:
@@ -42,7 +48,7 @@ class _State:
     __slots__ = ("arcs", "final", "last", "pending", "chains")
 
     def __init__(self, last: int, pending: bytes, chains: list):
-        self.arcs: dict[int, tuple[bytes, _State]] = {}
+        self.arcs: dict[int, tuple[bytes, _State]] | None = None
         self.final: bytes | None = None
         self.last, self.pending, self.chains = last, pending, chains
 
@@ -74,9 +80,9 @@ class _Pieces(dict):
 
 
 class ByteBpe:
-    """Encoder and decoder for one rank file."""
+    """Encoder for one table of ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = 250_000, max_pieces: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = 120_000, max_pieces: int = 200_000):
         self.ranks = ranks
         self.table = {i: t for t, i in ranks.items()}
         # a trie of the entries: child by node and byte, entry (or -1) and whether it goes on by node
@@ -101,11 +107,9 @@ class ByteBpe:
 
     @classmethod
     def load(cls, path: str, pattern: str) -> "ByteBpe":
-        if (path, pattern) not in _CODECS:
-            with open(path, "rb") as f:
-                ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-            _CODECS[path, pattern] = cls(ranks, pattern)
-        return _CODECS[path, pattern]
+        if (path, pattern) not in _ENCODERS:
+            _ENCODERS[path, pattern] = cls(read_ranks(path), pattern)
+        return _ENCODERS[path, pattern]
 
     def _state(self, last: int, pending: bytes, chains: list) -> _State:
         key = (last, pending)
@@ -162,6 +166,8 @@ class ByteBpe:
         else:
             arc = b"", self._state(s.last, pending, live)
         if len(self.states) < self.max_states or (arc[1].last, arc[1].pending) in self.states:
+            if s.arcs is None:
+                s.arcs = {}
             s.arcs[byte] = arc
         return arc
 
@@ -171,7 +177,7 @@ class ByteBpe:
             return whole.to_bytes(4, "little")
         out, s = [], self.root
         for byte in data:
-            arc = s.arcs.get(byte)
+            arc = s.arcs.get(byte) if s.arcs else None
             if arc is None:
                 arc = self._arc(s, byte)
             if arc[0]:
@@ -185,6 +191,19 @@ class ByteBpe:
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split.findall(text)))
 
+
+class ByteDecoder:
+    """Decoder for one table of ranks."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.table = {i: t for t, i in ranks.items()}
+
+    @classmethod
+    def load(cls, path: str) -> "ByteDecoder":
+        if path not in _DECODERS:
+            _DECODERS[path] = cls(read_ranks(path))
+        return _DECODERS[path]
+
     def decode(self, packed: bytes, step: int = 8192) -> str:
         """The text of packed ids, decoded ``step`` tokens at a time."""
         ids, machine, out = memoryview(packed).cast("I"), Utf8Machine(), []
@@ -244,12 +263,12 @@ def encode_column(text: Column | str, vocab: str, pattern: str) -> Column:
     return encode(text)
 
 
-def decode_column(packed: Column | str, vocab: str, pattern: str) -> Column:
+def decode_column(packed: Column | str, vocab: str) -> Column:
     """The text of packed token ids; null for null."""
 
     @F.arrow_udf("string")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        codec = ByteBpe.load(vocab, pattern)
+        codec = ByteDecoder.load(vocab)
         for ids in batches:
             yield pa.array([None if p is None else codec.decode(p) for p in ids.to_pylist()], pa.string())
 
@@ -261,6 +280,6 @@ def bpe_encode(docs: DataFrame, vocab: str, pattern: str, text: str = "text", ou
     return docs.withColumn(out, encode_column(F.col(f"`{text}`"), vocab, pattern))
 
 
-def bpe_decode(docs: DataFrame, vocab: str, pattern: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
+def bpe_decode(docs: DataFrame, vocab: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the text of the packed ids in ``out``."""
-    return docs.withColumn(out, decode_column(F.col(f"`{ids}`"), vocab, pattern))
+    return docs.withColumn(out, decode_column(F.col(f"`{ids}`"), vocab))

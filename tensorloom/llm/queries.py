@@ -18,7 +18,7 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocab = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     ids = bpe_encode(docs, vocab, public_tokenizers.PATTERN).drop("text")
-    return bpe_decode(ids, vocab, public_tokenizers.PATTERN).select(
+    return bpe_decode(ids, vocab).select(
         "doc_id",
         (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("token_ids", 256).alias("ids_sha256"),
