@@ -9,8 +9,9 @@ bytes, and an encoding is valid iff each neighbouring pair of tokens is.  So
 the token that ends at a position is the one that starts at a live position
 and forms a valid pair with the token ending there.  What all live positions
 agree on is emitted; the lookahead is bounded by the longest entry.  States
-and arcs are made when first met; beyond ``max_states`` they are made anew each
-time, so memory is bounded and the common ones, met early, stay.
+and arcs are made when first met, up to ``max_states``: the common ones come
+early and stay.  Where an arc is missing then, the rest of the piece is run
+through the undeterminised transducer, so memory is bounded.
 
 Decoding is the inverse: a table look-up per token and an incremental UTF-8
 machine that holds back at most three bytes of an unfinished character.
@@ -32,6 +33,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import small_batches
+
 #: Held per Python worker, so that tasks of one executor share the states.
 _ENCODERS: dict[tuple[str, str], "ByteBpe"] = {}
 _DECODERS: dict[str, "ByteDecoder"] = {}
@@ -82,7 +85,7 @@ class _Pieces(dict):
 class ByteBpe:
     """Encoder for one table of ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = 120_000, max_pieces: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = 60_000, max_pieces: int = 250_000):
         self.ranks = ranks
         self.table = {i: t for t, i in ranks.items()}
         # a trie of the entries: child by node and byte, entry (or -1) and whether it goes on by node
@@ -115,8 +118,7 @@ class ByteBpe:
         key = (last, pending)
         if (known := self.states.get(key)) is None:
             known = _State(last, pending, chains)
-            if len(self.states) < self.max_states:
-                self.states[key] = known
+            self.states[key] = known
         return known
 
     def merge(self, data: bytes) -> list[int]:
@@ -165,20 +167,46 @@ class ByteBpe:
             arc = _pack(done), self._state(done[-1], pending[cut:], [(at - cut, node, c[same:]) for at, node, c in live])
         else:
             arc = b"", self._state(s.last, pending, live)
-        if len(self.states) < self.max_states or (arc[1].last, arc[1].pending) in self.states:
-            if s.arcs is None:
-                s.arcs = {}
-            s.arcs[byte] = arc
+        if s.arcs is None:
+            s.arcs = {}
+        s.arcs[byte] = arc
         return arc
 
+    def _simulate(self, last: int, data: bytes) -> list[int]:
+        """Tokens of ``data`` after the token ``last``, over all live positions at once."""
+        child, entry, valid, n = self.child, self.entry, self.valid, len(data)
+        token_at, start_of = [None] * (n + 1), [0] * (n + 1)
+        token_at[0] = last
+        for start in range(n):
+            before = token_at[start]
+            if before is None:
+                continue
+            node = 0
+            for at in range(start, n):
+                node = child.get(node << 8 | data[at])
+                if node is None:
+                    break
+                if (token := entry[node]) >= 0 and token_at[at + 1] is None:
+                    follows = valid.get((before, token))
+                    if self._follows(before, token) if follows is None else follows:
+                        token_at[at + 1], start_of[at + 1] = token, start
+        out = []
+        while n:
+            out.append(token_at[n])
+            n = start_of[n]
+        return out[::-1]
+
     def encode_piece(self, data: bytes) -> bytes:
         """Packed ids (little-endian, 32 bits each) of one pre-token."""
         if (whole := self.ranks.get(data)) is not None:
             return whole.to_bytes(4, "little")
         out, s = [], self.root
-        for byte in data:
+        for at, byte in enumerate(data):
             arc = s.arcs.get(byte) if s.arcs else None
             if arc is None:
+                if len(self.states) >= self.max_states:
+                    out.append(_pack(self._simulate(s.last, s.pending + data[at:])))
+                    return b"".join(out)
                 arc = self._arc(s, byte)
             if arc[0]:
                 out.append(arc[0])
@@ -275,11 +303,36 @@ def decode_column(packed: Column | str, vocab: str) -> Column:
     return decode(packed)
 
 
+def round_trip_column(text: Column | str, vocab: str, pattern: str) -> Column:
+    """A struct of ``token_ids`` and what they decode to, ``decoded``."""
+
+    @F.arrow_udf("struct<token_ids:binary,decoded:string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, decoder = ByteBpe.load(vocab, pattern), ByteDecoder.load(vocab)
+        for texts in batches:
+            gc.disable()
+            try:
+                ids = [encoder.encode(t.as_py() or "") for t in texts]
+            finally:
+                gc.enable()
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(decoder.decode, ids), pa.string())], ["token_ids", "decoded"])
+
+    return both(text)
+
+
+def bpe_round_trip(docs: DataFrame, vocab: str, pattern: str, text: str = "text", out: str = "bpe") -> DataFrame:
+    """``docs`` with the struct ``out``: encoded and decoded in one pass."""
+    small_batches(docs.sparkSession)
+    return docs.withColumn(out, round_trip_column(F.col(f"`{text}`"), vocab, pattern))
+
+
 def bpe_encode(docs: DataFrame, vocab: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
     """``docs`` with the packed ids of ``text`` in ``out`` (never null)."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, encode_column(F.col(f"`{text}`"), vocab, pattern))
 
 
 def bpe_decode(docs: DataFrame, vocab: str, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``docs`` with the text of the packed ids in ``out``."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, decode_column(F.col(f"`{ids}`"), vocab))

@@ -28,6 +28,8 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tables import small_batches
+
 _LETTER = regex.compile(r"\p{L}")
 _ASCII = np.array([c if chr(c).isalpha() else 32 for c in range(128)], dtype=np.uint32)
 _CHUNK = 1 << 18
@@ -162,6 +164,7 @@ def language_column(text: Column | str, model: LanguageModel) -> Column:
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", out: str = "language") -> DataFrame:
     """``docs`` with the struct ``out``."""
+    small_batches(docs.sparkSession)
     return docs.withColumn(out, language_column(F.col(f"`{text}`"), model))
 
 

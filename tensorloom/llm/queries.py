@@ -8,24 +8,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import bpe_decode, bpe_encode
+from . import urlmodel
+from .bpe import bpe_round_trip
 from .langid import fit, held_out, identify
 from .tables import table
+from .winnow import compare_edited
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
     vocab = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    ids = bpe_encode(docs, vocab, public_tokenizers.PATTERN).drop("text")
-    return bpe_decode(ids, vocab).select(
+    return bpe_round_trip(docs, vocab, public_tokenizers.PATTERN).select(
         "doc_id",
-        (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("token_ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.octet_length("bpe.token_ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("bpe.token_ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("bpe.decoded").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
+def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text."""
+    return compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's URL."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlmodel.judge(pages, urlmodel.fit(pages)).select("page_id", "host", "path", "rule", "verdict", "score")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -41,6 +53,8 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
+    "op4_winnowing": op4_winnowing,
+    "op7_urls": op7_urls,
     "op10_language": op10_language,
 }
 

@@ -33,3 +33,14 @@ def stored(df: DataFrame, what: str, options: dict | None = None) -> DataFrame:
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Send texts to Python in batches of at most ``rows``.
+
+    The default of 10,000 is made for numbers; as many documents, with what is
+    made of them, are hundreds of MB in each task.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, rows)
