@@ -172,29 +172,39 @@ class ByteBpe:
         s.arcs[byte] = arc
         return arc
 
-    def _simulate(self, last: int, data: bytes) -> list[int]:
-        """Tokens of ``data`` after the token ``last``, over all live positions at once."""
+    def _search(self, last: int, data: bytes) -> list[int]:
+        """Tokens of ``data`` after the token ``last``, by depth-first search.
+
+        The longest entry that may follow is tried first.  A position that
+        leads nowhere is not entered again: whatever way leads to it is the
+        one encoding of the bytes before it.
+        """
         child, entry, valid, n = self.child, self.entry, self.valid, len(data)
-        token_at, start_of = [None] * (n + 1), [0] * (n + 1)
-        token_at[0] = last
-        for start in range(n):
-            before = token_at[start]
-            if before is None:
-                continue
-            node = 0
-            for at in range(start, n):
-                node = child.get(node << 8 | data[at])
-                if node is None:
+        at, before, fresh, dead = 0, last, True, set()
+        out, ways, left = [], [], []
+        while at < n:
+            if fresh:
+                node, left, end = 0, [], at
+                while end < n and (node := child.get(node << 8 | data[end])) is not None:
+                    end += 1
+                    if (token := entry[node]) >= 0:
+                        left.append((token, end))
+            fresh = False
+            while left:
+                token, end = left.pop()
+                if end in dead:
+                    continue
+                follows = valid.get((before, token))
+                if self._follows(before, token) if follows is None else follows:
+                    ways.append((at, before, left))
+                    out.append(token)
+                    at, before, fresh = end, token, True
                     break
-                if (token := entry[node]) >= 0 and token_at[at + 1] is None:
-                    follows = valid.get((before, token))
-                    if self._follows(before, token) if follows is None else follows:
-                        token_at[at + 1], start_of[at + 1] = token, start
-        out = []
-        while n:
-            out.append(token_at[n])
-            n = start_of[n]
-        return out[::-1]
+            if not fresh:
+                dead.add(at)
+                at, before, left = ways.pop()
+                out.pop()
+        return out
 
     def encode_piece(self, data: bytes) -> bytes:
         """Packed ids (little-endian, 32 bits each) of one pre-token."""
@@ -205,7 +215,7 @@ class ByteBpe:
             arc = s.arcs.get(byte) if s.arcs else None
             if arc is None:
                 if len(self.states) >= self.max_states:
-                    out.append(_pack(self._simulate(s.last, s.pending + data[at:])))
+                    out.append(_pack(self._search(s.last, s.pending + data[at:])))
                     return b"".join(out)
                 arc = self._arc(s, byte)
             if arc[0]:
