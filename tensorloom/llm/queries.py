@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import urlmodel
+from . import secrets, urlmodel
 from .bpe import bpe_round_trip
 from .langid import fit, held_out, identify
+from .spans import count_of, spelled
 from .tables import table
 from .winnow import compare_edited
 
@@ -38,6 +39,58 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlmodel.judge(pages, urlmodel.fit(pages)).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, each content scanned once."""
+    found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = F.col("spans")
+    base = F.filter(spans, lambda s: s["kind"] < 3)
+    return found.select(
+        "doc_id",
+        count_of(spans, 0).alias("n_assign"),
+        count_of(spans, 1).alias("n_access"),
+        count_of(spans, 2).alias("n_hex"),
+        F.sha2(spelled(base, secrets.KINDS), 256).alias("base_sha256"),
+        spelled(spans, secrets.KINDS).alias("spans"),
+    )
+
+
+def _duck_spans(kind: str, order: int, pattern: str, keep: str = "true") -> str:
+    """DuckDB: the places of all matches, from the lengths of matches and gaps."""
+    pattern = pattern.replace("'", "''")
+    return f"""
+        SELECT doc_id, {order} AS ord, '{kind}' AS kind, s, s + length(m[i]) AS e
+        FROM (
+            SELECT doc_id, m, unnest(range(1, len(m) + 1)) AS i,
+                   list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS s
+            FROM (
+                SELECT doc_id, regexp_extract_all(body, '{pattern}') AS m, regexp_split_to_array(body, '{pattern}') AS g FROM docs
+            )
+        )
+        WHERE {keep}"""
+
+
+_ASSIGN_SQL = secrets.ASSIGN.replace("'", "''")
+OP8_SQL = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS body FROM documents),
+spans AS (
+    {_duck_spans("assign", 0, secrets.ASSIGN, f"length(regexp_extract(m[i], '{_ASSIGN_SQL}', 1)) >= 8")}
+    UNION ALL {_duck_spans("access", 1, "AKIA[A-Z0-9]{12,}")}
+    UNION ALL {_duck_spans("hex", 2, "[0-9a-f]{32,}")}
+    {"".join(f" UNION ALL {_duck_spans(k, secrets.KINDS.index(k), p)}" for k, (p, _) in secrets.EXTRA.items())}
+),
+each AS (
+    SELECT doc_id,
+           count(*) FILTER (ord = 0) AS n_assign, count(*) FILTER (ord = 1) AS n_access, count(*) FILTER (ord = 2) AS n_hex,
+           string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (ord < 3) AS base,
+           string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans
+    FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM docs LEFT JOIN each USING (doc_id)
+"""
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -55,7 +108,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe": op3_bpe,
     "op4_winnowing": op4_winnowing,
     "op7_urls": op7_urls,
+    "op8_secrets": op8_secrets,
     "op10_language": op10_language,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_secrets": OP8_SQL}
