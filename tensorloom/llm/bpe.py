@@ -85,7 +85,7 @@ class _Pieces(dict):
 class ByteBpe:
     """Encoder for one table of ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = 60_000, max_pieces: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = 100_000, max_pieces: int = 400_000):
         self.ranks = ranks
         self.table = {i: t for t, i in ranks.items()}
         # a trie of the entries: child by node and byte, entry (or -1) and whether it goes on by node
