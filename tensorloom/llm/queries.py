@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import secrets, urlmodel
+from . import pii, secrets, urlmodel
 from .bpe import bpe_round_trip
 from .langid import fit, held_out, identify
 from .spans import count_of, spelled
@@ -16,6 +16,18 @@ from .tables import table
 from .winnow import compare_edited
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.col("base")
+    return found.select(
+        "doc_id",
+        *[count_of(base, k).alias(f"n_{name}") for k, name in enumerate(pii.KINDS)],
+        F.sha2(spelled(base, pii.KINDS), 256).alias("base_sha256"),
+        spelled(F.col("spans"), pii.KINDS).alias("spans"),
+    )
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
     vocab = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -105,6 +117,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op3_bpe": op3_bpe,
     "op4_winnowing": op4_winnowing,
     "op7_urls": op7_urls,
