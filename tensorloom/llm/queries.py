@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from . import pii, secrets, urlmodel
 from .bpe import bpe_round_trip
 from .langid import fit, held_out, identify
+from .minhash import near_duplicates
 from .spans import count_of, spelled
 from .tables import table
 from .winnow import compare_edited
@@ -45,6 +46,11 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of near-duplicates of every document."""
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict on every page's URL."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -120,6 +126,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_bpe": op3_bpe,
     "op4_winnowing": op4_winnowing,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_urls": op7_urls,
     "op8_secrets": op8_secrets,
     "op10_language": op10_language,
