@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import pii, secrets, urlmodel
 from .bpe import bpe_round_trip
+from .decontaminate import find_leaks
 from .langid import fit, held_out, identify
 from .minhash import near_duplicates
 from .spans import count_of, spelled
@@ -109,6 +110,11 @@ FROM docs LEFT JOIN each USING (doc_id)
 """
 
 
+def op9_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, verbatim or in other words."""
+    return find_leaks(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -129,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_near_duplicates": op6_near_duplicates,
     "op7_urls": op7_urls,
     "op8_secrets": op8_secrets,
+    "op9_leaks": op9_leaks,
     "op10_language": op10_language,
 }
 

@@ -2,33 +2,14 @@
 
 from __future__ import annotations
 
-from hashlib import blake2b
-
 import numpy as np
+from xxhash import xxh3_64_intdigest
 
 
-class WordHashes(dict):
-    """64-bit hash by word, kept for up to ``most`` words and an older generation."""
-
-    def __init__(self, most: int = 300_000):
-        self.most, self.older = most, {}
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
-        h = self.older.get(word)
-        if h is None:
-            h = int.from_bytes(blake2b(word.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        self[word] = h
-        return h
-
-    def of(self, words: list[str]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-#: Shared by the tasks of a Python worker.
-HASHES = WordHashes()
+def word_hashes(text: str | None) -> np.ndarray:
+    """64-bit hashes of the words of a text: lower case, split at white space."""
+    words = (text or "").lower().split()
+    return np.fromiter(map(xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -43,7 +24,7 @@ def shingles(text: str, size: int) -> np.ndarray:
 
     A text with fewer words has one shingle, of all; one without words none.
     """
-    h = HASHES.of(text.lower().split())
+    h = word_hashes(text)
     if not len(h):
         return h
     size = min(size, len(h))
