@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import pii, secrets, urlmodel
+from . import extract, pii, secrets, urlmodel
 from .bpe import bpe_round_trip
 from .decontaminate import find_leaks
 from .langid import fit, held_out, identify
@@ -47,6 +47,12 @@ def op4_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract.extract(pages, extract.train()).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The class of near-duplicates of every document."""
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
@@ -132,6 +138,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_bpe": op3_bpe,
     "op4_winnowing": op4_winnowing,
+    "op5_main_text": op5_main_text,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_urls": op7_urls,
     "op8_secrets": op8_secrets,
