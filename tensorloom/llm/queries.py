@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import extract, pii, secrets, urlmodel
+from .backoff import score_documents
 from .bpe import bpe_round_trip
 from .decontaminate import find_leaks
 from .langid import fit, held_out, identify
@@ -30,6 +31,11 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language-model score of every document."""
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again, as digests."""
     vocab = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -136,6 +142,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_backoff": op2_backoff,
     "op3_bpe": op3_bpe,
     "op4_winnowing": op4_winnowing,
     "op5_main_text": op5_main_text,
