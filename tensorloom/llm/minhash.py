@@ -11,13 +11,16 @@ the latest slot.
 
 Texts are first collapsed to distinct contents, by SHA-256.  Texts that agree
 in a band of the signature share a bucket, and pairs of a bucket are verified
-exactly.  Not all pairs of a bucket are made: members are compared with the
-bucket's pivot, linked ones become one component, and only buckets whose
-members are in different components go on, with more pivots each round (all,
-in the last), against members of other components.  So a bucket of a thousand
-copies costs a thousand comparisons, and no pair that a bucket proposes and
-that could join two components goes untested.  With ``rows`` 4 and 18 bands
-a pair at 0.8 is missed with a chance of 8e-5.
+exactly.  Not all pairs of a bucket are made: members are first compared with
+the bucket's pivot, the member that shares most buckets with others, and
+linked ones become one component.  Only buckets whose members are in different
+components go on, with more pivots each round (all, in the last), against
+members of other components.  One minus the index is a metric, so a pair whose
+members differ by more than ``1 - threshold`` in their likeness to the pivot
+cannot be a link and is not made.  So a bucket of a thousand copies costs
+little more than a thousand comparisons, and no pair that a bucket proposes
+and that could join two components is lost.  With ``rows`` 4 and 18 bands a
+pair at 0.8 is missed with a chance of 8e-5.
 
 A null text is an empty one; texts without words equal only their exact
 copies.  Keys should identify rows; repeated rows share their class.  Where
@@ -99,8 +102,8 @@ def bands_column(text: Column, ngram: int, bands: int, rows: int) -> Column:
     return of(text)
 
 
-def verified(pairs: DataFrame, texts: DataFrame, ngram: int, threshold: float) -> DataFrame:
-    """The pairs ``a``, ``b`` whose texts (``id``, ``body``) are alike."""
+def compared(pairs: DataFrame, texts: DataFrame, ngram: int) -> DataFrame:
+    """The pairs ``a``, ``b`` with the likeness ``near`` of their texts (``id``, ``body``)."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, tuple] = {}
@@ -113,14 +116,12 @@ def verified(pairs: DataFrame, texts: DataFrame, ngram: int, threshold: float) -
             return known[key]
 
         for batch in batches:
-            keep = []
-            for i, (a, b, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("a", "b", "x", "y")), strict=True)):
-                if probability_jaccard(of(a, x), of(b, y)) >= threshold - 1e-12:
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+            a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
+            near = [probability_jaccard(of(i, t), of(j, u)) for i, j, t, u in zip(a, b, x, y, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(near, pa.float64())], ["a", "b", "near"])
 
     a, b = texts.select(F.col("id").alias("a"), F.col("body").alias("x")), texts.select(F.col("id").alias("b"), F.col("body").alias("y"))
-    return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long")
+    return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long, near double")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -147,39 +148,44 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ng
 
 def _labels(nodes: DataFrame, source: DataFrame, ngram: int, threshold: float) -> DataFrame | None:
     """``id`` and ``label`` of the nodes that have links; None if none has."""
+    least = threshold - 1e-12
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
-    sizes = stored(spread.groupBy("bucket").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).where("n > 1"), "buckets")
-    members = stored(spread.join(sizes, "bucket").select("bucket", "n", "pivot", "node"), "members")
+    sizes = stored(spread.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
+    members = stored(spread.join(sizes, "bucket").select("bucket", "n", "node"), "members")
     most = members.agg(F.max("n")).head()[0]
     if not most:
         return None
-    pairs = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    pairs = stored(pairs, "pairs")
-    tested, wide = pairs, 8
-    wanted = stored(members.select(F.col("node").alias("id")).distinct(), "wanted")
+    central = stored(members.groupBy("node").agg(F.sum("n").alias("shared")), "central")
+    at = members.join(central, "node").select("bucket", "node", "shared")
+    pivots = stored(at.groupBy("bucket").agg(F.max_by("node", F.struct("shared", -F.col("node"))).alias("pivot")), "pivots")
+    members = stored(members.join(pivots, "bucket").select("bucket", "n", "pivot", "node"), "members")
     own = source.select(F.coalesce("key", F.xxhash64("blob")).alias("id"), "body")
-    texts = stored(own.join(wanted.hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), "texts")
-    links = stored(verified(pairs, texts, ngram, threshold), "links")
+    texts = stored(own.join(central.select(F.col("node").alias("id")).hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    pairs = stored(members.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), "pairs")
+    tested = stored(compared(pairs, texts, ngram), "tested")
+    links = tested.where(F.col("near") >= least)
     if links.isEmpty():
         labels = nodes.select(F.col("node").alias("id"), F.col("node").alias("label")).limit(0)
     else:
         labels = components(links)
-    members = members.where("n > 2").select("bucket", "n", "node")  # of two, the one pair is tested
-    done = False
+    # of a bucket of two the one pair is tested; of others the likeness to the pivot is kept
+    members = members.where("n > 2").withColumns({"a": F.least("pivot", "node"), "b": F.greatest("pivot", "node")})
+    members = stored(members.join(tested, ["a", "b"], "left").select("bucket", "n", "node", F.coalesce("near", F.lit(1.0)).alias("near")), "members")
+    tested, wide, done = tested.select("a", "b"), 8, False
     while not done:
         done = wide >= most
-        at = members.join(labels, members["node"] == labels["id"], "left").select("bucket", "n", "node", F.coalesce("label", "node").alias("label"))
-        at = stored(at, "at")
+        at = stored(members.join(labels, members["node"] == labels["id"], "left").select("bucket", "n", "node", "near", F.coalesce("label", "node").alias("label")), "at")
         split = stored(at.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "split")
         if split.isEmpty():
             break
         at = stored(at.join(split, "bucket"), "open")
-        some = at.where(F.pmod(F.xxhash64("node", "bucket", F.lit(wide)), F.col("n")) < wide).select("bucket", F.col("node").alias("pivot"), F.col("label").alias("other"))
-        pairs = at.join(some, "bucket").where("label <> other").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+        some = at.where(F.pmod(F.xxhash64("node", F.lit(wide)), F.col("n")) < wide).select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("near").alias("other_near"))
+        pairs = at.join(some, (at["bucket"] == some["bucket"]) & (F.col("label") != F.col("other_label")) & (F.abs(F.col("near") - F.col("other_near")) <= 1 - least))
+        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
             tested = tested.unionByName(pairs)
-            links = stored(verified(pairs, texts, ngram, threshold), "links")
+            links = stored(compared(pairs, texts, ngram).where(F.col("near") >= least), "links")
             if not links.isEmpty():
                 labels = _merged(labels, links)
         wide *= 8
