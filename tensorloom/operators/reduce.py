@@ -133,7 +133,7 @@ def kurtosis_mask(tf: TensorFrame, gulp: int, limit: float = 0.1) -> TensorFrame
     gulped = tf.df.withColumn("__g", F.expr(f"`{frame.label}` div {gulp}"))
     keys = [*tf.over(frame.label), "__g"]
     x, m = F.col("value").cast("double"), F.count("*").cast("double")
-    v2 = m / (m - 1) * (m * F.sum(x * x) / (F.sum(x) * F.sum(x)) - 1)
-    bad = gulped.groupBy(*keys).agg((F.abs(0.5 - v2) > limit).alias("__bad"))
+    v2 = F.try_divide(m, m - 1) * (F.try_divide(m * F.sum(x * x), F.sum(x) * F.sum(x)) - 1)
+    bad = gulped.groupBy(*keys).agg(F.coalesce(F.abs(0.5 - v2) > limit, F.lit(True)).alias("__bad"))  # no power: no kurtosis
     df = gulped.join(bad, keys).withColumn("value", F.when(F.col("__bad"), 0).otherwise(F.col("value")))
     return TensorFrame(df, tf.spec, tf.keys)
