@@ -15,12 +15,14 @@ exactly.  Not all pairs of a bucket are made: members are first compared with
 the bucket's pivot, the member that shares most buckets with others, and
 linked ones become one component.  Only buckets whose members are in different
 components go on, with more pivots each round (all, in the last), against
-members of other components.  One minus the index is a metric, so a pair whose
-members differ by more than ``1 - threshold`` in their likeness to the pivot
-cannot be a link and is not made.  So a bucket of a thousand copies costs
-little more than a thousand comparisons, and no pair that a bucket proposes
-and that could join two components is lost.  With ``rows`` 4 and 18 bands a
-pair at 0.8 is missed with a chance of 8e-5.
+members of other components.  Three tests are part of that join, so that few
+pairs are made: the bucket is the first of those the two share; one minus the
+index is a metric, so the members' likeness to the pivot differs by at most
+``1 - threshold``; and of the ``SLOTS`` slots of the signature, kept as four
+bits each, not so few agree that a link is four standard deviations away.  So
+a bucket of a thousand copies costs little more than a thousand comparisons.
+Of pairs at 0.8 that join two components, the bands (4 rows, 18 bands) miss a
+share of 8e-5 and the slots one of 3e-5.
 
 A null text is an empty one; texts without words equal only their exact
 copies.  Keys should identify rows; repeated rows share their class.  Where
@@ -40,7 +42,7 @@ from .components import components
 from .tables import small_batches, stored
 from .words import mix, weighted_shingles
 
-NGRAM, THRESHOLD, BANDS, ROWS = 5, 0.8, 18, 4
+NGRAM, THRESHOLD, BANDS, ROWS, SLOTS, BITS = 5, 0.8, 18, 4, 256, 4
 
 
 def prob_minhash(ids: np.ndarray, weights: np.ndarray, slots: int) -> np.ndarray:
@@ -78,30 +80,55 @@ def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, n
     return float((1 / (below[upto] / a[both] + above[upto] / b[both])).sum())
 
 
-def bands_column(text: Column, ngram: int, bands: int, rows: int) -> Column:
-    """A hash for each band of the signature; an empty array for no words."""
+def signature_column(text: Column, ngram: int, bands: int, rows: int) -> Column:
+    """A hash for each band of the signature, and planes of bits of its slots.
 
-    def hashed(text: str | None) -> np.ndarray:
+    ``planes`` has, for each of the lowest ``BITS`` bits of a slot's element,
+    ``SLOTS / 64`` words.  Both are empty for a text without words.
+    """
+    shifts = np.arange(64, dtype=np.uint64)
+
+    def signed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
         ids, weights = weighted_shingles(text or "", ngram)
         if not len(ids):
-            return np.zeros(0, np.int64)
-        held = prob_minhash(ids, weights, bands * rows).reshape(bands, rows)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held = prob_minhash(ids, weights, SLOTS)
+        part = held[: bands * rows].reshape(bands, rows)
         h = np.arange(1, bands + 1, dtype=np.uint64)
         for k in range(rows):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + held[:, k])
-        return h.view(np.int64)
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + part[:, k])
+        bits = mix(held)
+        planes = [((bits >> np.uint64(k) & np.uint64(1)).reshape(-1, 64) << shifts).sum(axis=1, dtype=np.uint64) for k in range(BITS)]
+        return h.view(np.int64), np.concatenate(planes).view(np.int64)
+
+    def lists(parts: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int64()))
 
-    @F.arrow_udf("array<bigint>")
+    @F.arrow_udf("struct<bands:array<bigint>,planes:array<bigint>>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = [hashed(t.as_py()) for t in texts]
-            ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-            values = np.concatenate([np.zeros(0, np.int64), *found])
-            yield pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
+            found = [signed(t.as_py()) for t in texts]
+            yield pa.StructArray.from_arrays([lists([x for x, _ in found]), lists([y for _, y in found])], ["bands", "planes"])
 
     return of(text)
 
 
+def _may_link(threshold: float) -> Column:
+    """Whether enough slots agree; columns ``planes`` and ``other_planes``."""
+    words = SLOTS // 64
+    differ = F.lit(0)
+    for w in range(words):
+        unlike = [F.get("planes", k * words + w).bitwiseXOR(F.get("other_planes", k * words + w)) for k in range(BITS)]
+        any_bit = unlike[0]
+        for x in unlike[1:]:
+            any_bit = any_bit.bitwiseOR(x)
+        differ = differ + F.bit_count(any_bit)
+    agree = threshold + (1 - threshold) / 2**BITS  # by chance equal bits agree too
+    least = SLOTS * agree - 4 * (SLOTS * agree * (1 - agree)) ** 0.5
+    return differ <= SLOTS - int(least)
+
+
 def compared(pairs: DataFrame, texts: DataFrame, ngram: int) -> DataFrame:
     """The pairs ``a``, ``b`` with the likeness ``near`` of their texts (``id``, ``body``)."""
 
@@ -135,8 +162,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ng
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     blob = F.unhex(F.sha2(body, 256))
     source = docs.select(F.col(f"`{key}`").cast("long").alias("key"), blob.alias("blob"), body.alias("body"))
-    signed = source.withColumn("bands", bands_column(F.col("body"), ngram, bands, rows))
-    nodes = stored(signed.groupBy("blob").agg(F.coalesce(F.min("key"), F.xxhash64("blob")).alias("node"), F.first("bands").alias("bands")), "nodes")
+    signed = source.withColumn("signature", signature_column(F.col("body"), ngram, bands, rows))
+    nodes = signed.groupBy("blob").agg(F.coalesce(F.min("key"), F.xxhash64("blob")).alias("node"), F.first("signature").alias("signature"))
+    nodes = stored(nodes.select("blob", "node", "signature.*"), "nodes")
     labels = _labels(nodes, source, ngram, threshold)
     classes = nodes.select("blob", "node")
     if labels is None:
@@ -159,6 +187,7 @@ def _labels(nodes: DataFrame, source: DataFrame, ngram: int, threshold: float) -
     at = members.join(central, "node").select("bucket", "node", "shared")
     pivots = stored(at.groupBy("bucket").agg(F.max_by("node", F.struct("shared", -F.col("node"))).alias("pivot")), "pivots")
     members = stored(members.join(pivots, "bucket").select("bucket", "n", "pivot", "node"), "members")
+    signatures = nodes.select("node", "bands", "planes")
     own = source.select(F.coalesce("key", F.xxhash64("blob")).alias("id"), "body")
     texts = stored(own.join(central.select(F.col("node").alias("id")).hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     pairs = stored(members.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), "pairs")
@@ -178,9 +207,13 @@ def _labels(nodes: DataFrame, source: DataFrame, ngram: int, threshold: float) -
         split = stored(at.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "split")
         if split.isEmpty():
             break
-        at = stored(at.join(split, "bucket"), "open")
-        some = at.where(F.pmod(F.xxhash64("node", F.lit(wide)), F.col("n")) < wide).select("bucket", F.col("node").alias("other"), F.col("label").alias("other_label"), F.col("near").alias("other_near"))
-        pairs = at.join(some, (at["bucket"] == some["bucket"]) & (F.col("label") != F.col("other_label")) & (F.abs(F.col("near") - F.col("other_near")) <= 1 - least))
+        at = stored(at.join(split, "bucket").join(signatures, "node").withColumn("at", F.array_position("bands", F.col("bucket"))), "open")
+        some = at.where(F.pmod(F.xxhash64("node", F.lit(wide)), F.col("n")) < wide)
+        some = some.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "label", "near", "bands", "planes")])
+        # a bucket of an earlier band that both are in has made the pair
+        first = ~F.exists(F.arrays_zip(F.slice("bands", F.lit(1), F.col("at") - 1).alias("x"), F.slice("other_bands", F.lit(1), F.col("at") - 1).alias("y")), lambda z: z["x"] == z["y"])
+        met = (F.col("label") != F.col("other_label")) & (F.abs(F.col("near") - F.col("other_near")) <= 1 - least)
+        pairs = at.join(some, (at["bucket"] == some["bucket"]) & met & _may_link(threshold) & first).withColumnRenamed("other_node", "other")
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
