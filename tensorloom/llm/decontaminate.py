@@ -114,6 +114,7 @@ def randomised_svd(passages: DataFrame, idf: np.ndarray, rank: int = RANK, round
             return terms, np.zeros((0, rank))
         terms = rows["term"].to_numpy()
         q = np.linalg.qr(np.stack([rows[n].to_numpy() for n in names], axis=1))[0]
+        q = np.pad(q, ((0, 0), (0, rank - q.shape[1])))  # fewer terms than dimensions
     return terms, q
 
 
