@@ -126,8 +126,8 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int
     s = np.array([_softmax(x / model.temperature) for x in z])
     right = s.max(axis=1)[s.argmax(axis=1) == y]
     if len(right):
-        # no stricter than an even vote of two labels, so that little data rejects nothing by chance
-        model.threshold = float(min(np.quantile(right, reject_rate), 1 / max(2, len(names)) + 0.1))
+        # only what is close to an even vote of all labels: a clean text must not go by chance
+        model.threshold = float(min(np.quantile(right, reject_rate), 1 / max(2, len(names)) + 0.02))
     return model
 
 
