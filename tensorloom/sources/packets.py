@@ -27,6 +27,11 @@ FORMATS = {
     "cor": [("sync_word", 4), ("frame_count_word", 4), ("second_count", 4), ("first_chan", 2), ("gain", 2), ("time_tag", 8), ("navg", 4), ("stand0", 2), ("stand1", 2)],
 }
 FORMATS["drx8"] = FORMATS["drx"]
+FORMATS["vbeam"] = [("sync_word", 8), ("sync_time", 8), ("time_tag", 8), ("bw_hz", 8), ("sfreq", 8), ("nchan", 4), ("chan0", 4), ("npol", 4)]
+#: A header of 32-bit little-endian words, each cut into fields of these bits, lowest first.
+VDIF = [[("seconds", 30), ("legacy", 1), ("invalid", 1)], [("frame", 24), ("epoch", 6), ("_", 2)], [("length", 24), ("log2_nchan", 5), ("version", 3)], [("station", 16), ("thread", 10), ("bits_less_one", 5), ("complex", 1)]]
+#: Ticks of the sampling clock in a second.
+CLOCK = 196_000_000
 #: Bits of a component of the samples in the payload.
 SAMPLE_BITS = {"tbn": 8, "drx": 4, "drx8": 8}
 
@@ -44,11 +49,36 @@ def fields(packet: Column, fmt: str) -> dict[str, Column]:
     return out
 
 
+def vdif_fields(packet: Column) -> dict[str, Column]:
+    """The fields of a header in little-endian words."""
+    out = {}
+    for k, word in enumerate(VDIF):
+        byte = lambda i, k=k: F.conv(F.hex(F.substring(packet, 4 * k + i + 1, 1)), 16, 10).cast("bigint")
+        whole = byte(0) + byte(1) * 256 + byte(2) * 65536 + byte(3) * 16777216
+        low = 0
+        for name, bits in word:
+            out[name] = F.shiftright(whole, low).bitwiseAND(2**bits - 1)
+            low += bits
+    return out
+
+
+def _vdif(packets: DataFrame, nsrc: int, src0: int, frames_per_second: int, packet: str) -> DataFrame:
+    h = vdif_fields(F.col(packet))
+    seq, src = h["seconds"] * frames_per_second + h["frame"], h["thread"] - src0
+    size = F.when(h["legacy"] == 1, 16).otherwise(32)
+    known = F.coalesce((F.octet_length(packet) > size) & (h["invalid"] == 0) & (src >= 0) & (src < nsrc), F.lit(False))
+    rest = F.substr(F.col(packet), size + 1, F.octet_length(packet))
+    return packets.withColumns({"seq": seq, "src": src.cast("bigint"), "time_tag": seq, "valid": known, "payload": rest})
+
+
 def decode(packets: DataFrame, fmt: str, nsrc: int, src0: int = 0, decimation: int = 1, packet: str = "packet") -> DataFrame:
     """Packets with ``seq``, ``src``, ``time_tag``, ``valid`` and ``payload``.
 
     A packet that is too short or whose source is out of range is not valid.
+    ``decimation`` is the raw samples of one (for ``vdif`` frames in a second).
     """
+    if fmt == "vdif":
+        return _vdif(packets, nsrc, src0, decimation, packet)
     h = fields(F.col(packet), fmt)
     tag = h.get("time_tag", h.get("seq"))
     div = lambda a, b: F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
@@ -70,6 +100,15 @@ def decode(packets: DataFrame, fmt: str, nsrc: int, src0: int = 0, decimation: i
         which = F.shiftright(h["frame_count_word"], 24)  # beam, tuning and polarisation share the first byte
         tuning, pol = F.shiftright(which, 3).bitwiseAND(7) - 1, F.shiftright(which, 7).bitwiseAND(1)
         seq, src = div(tag, F.greatest(h["decimation"], F.lit(1)) * 4096), tuning * 2 + pol - src0
+    elif fmt == "cor":
+        # sources are baselines a <= b of the stands, row by row, times servers
+        word = h["frame_count_word"]
+        nserver, server = F.greatest(F.shiftright(word, 8).bitwiseAND(255), F.lit(1)), word.bitwiseAND(255)
+        a, b = h["stand0"] - 1, h["stand1"] - 1
+        nstand = F.floor((F.sqrt(8 * nsrc / nserver + 1) - 1) / 2)
+        before = div(a * (2 * nstand - 1 - a), F.lit(2))
+        seq = div(div(tag, CLOCK), F.greatest(div(h["navg"], 100), F.lit(1)))
+        src = (before + b + 1 - src0) * nserver + server - 1
     else:
         raise ValueError(f"packets of format {fmt!r} are only written")
     size = header_bytes(fmt)

@@ -305,6 +305,18 @@ def test_packets(spark, fmt):
         assert [(c.re, c.im) for c in cells] == ([(1, 2), (-1, 0), (7, -1), (-8, 1)] if fmt == "drx" else [(18, -16), (127, -127)])
 
 
+def test_baseline_and_word_packets(spark):
+    pairs = [(a, b) for a in range(4) for b in range(a, 4)]
+    rows = spark.createDataFrame([(k, a + 1, b + 1, bytearray(b"xy")) for k, (a, b) in enumerate(pairs)], "id long, a long, b long, payload binary")
+    made = packets.encode(rows, "cor", {"stand0": F.col("a"), "stand1": F.col("b"), "navg": 100, "time_tag": F.col("id") * 196_000_000, "frame_count_word": F.lit(1 * 256 + 1)})
+    got = packets.decode(made, "cor", len(pairs), 1).orderBy("id").collect()
+    assert [(r.seq, r.src, r.valid) for r in got] == [(k, k, True) for k in range(len(pairs))]
+    words = [(5 | 0 << 30, 7 | 3 << 24, 4 | 1 << 24, 9 | 2 << 16 | 7 << 26), (5 | 1 << 31, 0, 0, 0)]
+    frames = [(k, bytearray(b"".join(w.to_bytes(4, "little") for w in ws) + bytes(16) + b"data")) for k, ws in enumerate(words)]
+    got = packets.decode(spark.createDataFrame(frames, "id long, packet binary"), "vdif", 4, decimation=100).orderBy("id").collect()
+    assert (got[0].seq, got[0].src, got[0].valid, bytes(got[0].payload)) == (507, 2, True, b"data") and not got[1].valid
+
+
 def test_gulps(spark):
     rows = spark.range(50).select(F.col("id").alias("frame"))
     got = {(r.frame, r.gulp) for r in gulps.overlapping_gulps(rows, "frame", 10, 6).collect()}
