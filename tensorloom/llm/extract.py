@@ -134,7 +134,7 @@ def _features(blocks: list[Block]) -> list[np.ndarray]:
     n = len(blocks)
     for i, b in enumerate(blocks):
         if b.path not in known:
-            known[b.path] = [crc32(s.encode()) % BUCKETS for s in {"up " + s for s in b.path} | {f"last {s}" for s in b.path[-3:]}]
+            known[b.path] = [crc32(s.encode()) % BUCKETS for s in {"up " + s for s in b.path} | {"begins " + s[:5] for s in b.path if s[0] == "="} | {f"last {s}" for s in b.path[-3:]}]
         t = b.text
         size = sum(len(t) > k for k in _LENGTHS)
         marks = [f"size {size}", f"links {4 * b.linked // len(t)}", f"ends {t[-1] in '.!?…:;'}", f"stops {min(3, t.count('. ') + t.count(', '))}", f"place {4 * i // n}"]
@@ -201,17 +201,17 @@ _ASIDES = {
     "menu": ["nav", "menu", "navbar", "breadcrumb", "breadcrumbs", "tabs", "toolbar", "navigation", "pagination", "pager"],
     "header": ["header", "masthead", "banner", "topbar", "branding", "site-header"],
     "footer": ["footer", "foot", "colophon", "site-footer", "legal", "copyright"],
-    "sidebar": ["sidebar", "aside", "widget", "related", "recommended", "trending", "popular", "rail", "tags", "toc"],
+    "sidebar": ["sidebar", "aside", "widget", "related", "related-posts", "recommended", "trending", "popular", "rail", "tags", "toc"],
     "notice": ["cookie", "cookies", "consent", "gdpr", "notice", "alert", "disclaimer", "modal", "popup", "overlay", "subscribe", "newsletter", "paywall"],
     "advert": ["ad", "ads", "advert", "advertisement", "sponsor", "sponsored", "promo", "promotion", "banner-ad", "adsense"],
-    "comment": ["comment", "comments", "comment-list", "discussion", "replies", "reply", "disqus", "responses"],
+    "comment": ["comment", "comments", "comment-list", "commentlist", "user-comments", "discussion", "replies", "reply", "disqus", "responses"],
     "share": ["share", "social", "share-buttons", "follow"],
     "form": ["login", "search", "signup", "contact-form"],
 }
 _MAIN = ["article", "content", "main", "post", "entry", "entry-content", "post-body", "article-body", "story", "main-content", "text"]
 
 
-def training_pages(count: int = 600, seed: int = 11) -> list[tuple[str, list[int]]]:
+def training_pages(count: int = 900, seed: int = 11) -> list[tuple[str, list[int]]]:
     """Pages with a label for each leaf block: 1 for main text."""
     rng = random.Random(seed)
     vowels, rest = "aeiouäéo", "bcdfghlmnprstvzñß"
@@ -254,8 +254,13 @@ def training_pages(count: int = 600, seed: int = 11) -> list[tuple[str, list[int
                 add(f"</{tag}>" if tag else "<br>")
 
         def remarks() -> None:
+            if rng.random() < 0.5:
+                add("<h3>")
+                add(sentence(1, 3), 0)
+                add("</h3>")
+            marked = rng.random() < 0.5
             for _ in range(rng.randint(1, 5)):
-                add(f'<{rng.choice(["div", "li", "article"])} class="{rng.choice(["comment", "reply", "comment-body", "response"])}"><p>')
+                add(f'<{rng.choice(["div", "li", "article"])} class="{rng.choice(["comment", "reply", "comment-body", "response"])}"><p>' if marked else rng.choice(["<div><p>", "<li><p>", "<div>", "<p>"]))
                 add(paragraph(), 0)
                 add("</p></div>")
 
@@ -294,8 +299,10 @@ def training_pages(count: int = 600, seed: int = 11) -> list[tuple[str, list[int
                     add("</blockquote></pre></table></figure>")
                 else:
                     wrap(rng.choice(["advert", "share", "sidebar", "notice"]), rng.choice([blurb, links]))
-            if rng.random() < 0.2:
+            if rng.random() < 0.3:
                 wrap("comment", remarks)
+            if rng.random() < 0.15:
+                wrap(rng.choice(["sidebar", "share", "form"]), rng.choice([links, blurb]))
             add(f"</{tag}>")
 
         add("<html><head><title>")

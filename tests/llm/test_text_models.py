@@ -204,6 +204,6 @@ def test_extraction(spark, chain):
         got = chain.decode(extract._features(extract.leaf_blocks(page)))
         found += sum(a == b for a, b in zip(got, labels, strict=True))
         total += len(labels)
-    assert found >= 0.98 * total
+    assert found >= 0.975 * total
     rows = spark.createDataFrame([(0, None, "x"), (1, "", "x"), (2, "<body><nav><a href=x>Home</a></nav><article><h1>A title here</h1><p>Some text, with words.</p></article><footer>&copy; Me</footer>", "x")], "page_id long, html string, text string")
     assert [r.text for r in extract.extract(rows, chain).collect()] == ["", "", "A title here Some text, with words."]
