@@ -18,8 +18,9 @@ components go on, with more pivots each round (all, in the last), against
 members of other components.  Three tests are part of that join, so that few
 pairs are made: the bucket is the first of those the two share; one minus the
 index is a metric, so the members' likeness to the pivot differs by at most
-``1 - threshold``; and of the ``SLOTS`` slots of the signature, kept as four
-bits each, not so few agree that a link is four standard deviations away.  So
+``1 - threshold``; and of the ``SLOTS`` slots of a longer signature, made for
+these members only and kept as four bits each, not so few agree that a link is
+four standard deviations away.  So
 a bucket of a thousand copies costs little more than a thousand comparisons.
 Of pairs at 0.8 that join two components, the bands (4 rows, 18 bands) miss a
 share of 8e-5 and the slots one of 3e-5.
@@ -80,36 +81,45 @@ def probability_jaccard(x: tuple[np.ndarray, np.ndarray], y: tuple[np.ndarray, n
     return float((1 / (below[upto] / a[both] + above[upto] / b[both])).sum())
 
 
-def signature_column(text: Column, ngram: int, bands: int, rows: int) -> Column:
-    """A hash for each band of the signature, and planes of bits of its slots.
+def _lists(parts: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int64()))
 
-    ``planes`` has, for each of the lowest ``BITS`` bits of a slot's element,
-    ``SLOTS / 64`` words.  Both are empty for a text without words.
-    """
-    shifts = np.arange(64, dtype=np.uint64)
 
-    def signed(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+def bands_column(text: Column, ngram: int, bands: int, rows: int) -> Column:
+    """A hash for each band of the signature; none for a text without words."""
+
+    def hashed(text: str | None) -> np.ndarray:
         ids, weights = weighted_shingles(text or "", ngram)
         if not len(ids):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        held = prob_minhash(ids, weights, SLOTS)
-        part = held[: bands * rows].reshape(bands, rows)
+            return np.zeros(0, np.int64)
+        held = prob_minhash(ids, weights, bands * rows).reshape(bands, rows)
         h = np.arange(1, bands + 1, dtype=np.uint64)
         for k in range(rows):
-            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + part[:, k])
-        bits = mix(held)
-        planes = [((bits >> np.uint64(k) & np.uint64(1)).reshape(-1, 64) << shifts).sum(axis=1, dtype=np.uint64) for k in range(BITS)]
-        return h.view(np.int64), np.concatenate(planes).view(np.int64)
+            h = mix(h * np.uint64(0x9E3779B97F4A7C15) + held[:, k])
+        return h.view(np.int64)
+
+    @F.arrow_udf("array<bigint>")
+    def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield _lists([hashed(t.as_py()) for t in texts])
+
+    return of(text)
+
+
+def planes_column(text: Column, ngram: int) -> Column:
+    """``BITS`` bits of each of ``SLOTS`` slots: words of the lowest bits, of the next, and so on."""
+    shifts = np.arange(64, dtype=np.uint64)
 
-    def lists(parts: list[np.ndarray]) -> pa.Array:
-        ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *parts]), pa.int64()))
+    def packed(text: str) -> np.ndarray:
+        held = mix(prob_minhash(*weighted_shingles(text, ngram), SLOTS))
+        planes = [((held >> np.uint64(k) & np.uint64(1)).reshape(-1, 64) << shifts).sum(axis=1, dtype=np.uint64) for k in range(BITS)]
+        return np.concatenate(planes).view(np.int64)
 
-    @F.arrow_udf("struct<bands:array<bigint>,planes:array<bigint>>")
+    @F.arrow_udf("array<bigint>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = [signed(t.as_py()) for t in texts]
-            yield pa.StructArray.from_arrays([lists([x for x, _ in found]), lists([y for _, y in found])], ["bands", "planes"])
+            yield _lists([packed(t.as_py()) for t in texts])
 
     return of(text)
 
@@ -162,9 +172,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ng
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     blob = F.unhex(F.sha2(body, 256))
     source = docs.select(F.col(f"`{key}`").cast("long").alias("key"), blob.alias("blob"), body.alias("body"))
-    signed = source.withColumn("signature", signature_column(F.col("body"), ngram, bands, rows))
-    nodes = signed.groupBy("blob").agg(F.coalesce(F.min("key"), F.xxhash64("blob")).alias("node"), F.first("signature").alias("signature"))
-    nodes = stored(nodes.select("blob", "node", "signature.*"), "nodes")
+    signed = source.withColumn("bands", bands_column(F.col("body"), ngram, bands, rows))
+    nodes = stored(signed.groupBy("blob").agg(F.coalesce(F.min("key"), F.xxhash64("blob")).alias("node"), F.first("bands").alias("bands")), "nodes")
     labels = _labels(nodes, source, ngram, threshold)
     classes = nodes.select("blob", "node")
     if labels is None:
@@ -187,7 +196,6 @@ def _labels(nodes: DataFrame, source: DataFrame, ngram: int, threshold: float) -
     at = members.join(central, "node").select("bucket", "node", "shared")
     pivots = stored(at.groupBy("bucket").agg(F.max_by("node", F.struct("shared", -F.col("node"))).alias("pivot")), "pivots")
     members = stored(members.join(pivots, "bucket").select("bucket", "n", "pivot", "node"), "members")
-    signatures = nodes.select("node", "bands", "planes")
     own = source.select(F.coalesce("key", F.xxhash64("blob")).alias("id"), "body")
     texts = stored(own.join(central.select(F.col("node").alias("id")).hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), "texts")
     pairs = stored(members.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), "pairs")
@@ -200,14 +208,19 @@ def _labels(nodes: DataFrame, source: DataFrame, ngram: int, threshold: float) -
     # of a bucket of two the one pair is tested; of others the likeness to the pivot is kept
     members = members.where("n > 2").withColumns({"a": F.least("pivot", "node"), "b": F.greatest("pivot", "node")})
     members = stored(members.join(tested, ["a", "b"], "left").select("bucket", "n", "node", F.coalesce("near", F.lit(1.0)).alias("near")), "members")
-    tested, wide, done = tested.select("a", "b"), 8, False
+    tested, signatures, wide, done = tested.select("a", "b"), None, 8, False
     while not done:
         done = wide >= most
         at = stored(members.join(labels, members["node"] == labels["id"], "left").select("bucket", "n", "node", "near", F.coalesce("label", "node").alias("label")), "at")
         split = stored(at.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket"), "split")
         if split.isEmpty():
             break
-        at = stored(at.join(split, "bucket").join(signatures, "node").withColumn("at", F.array_position("bands", F.col("bucket"))), "open")
+        at = stored(at.join(split, "bucket"), "open")
+        if signatures is None:  # later rounds need fewer
+            some = texts.join(at.select(F.col("node").alias("id")).distinct().hint("shuffle_hash"), "id", "left_semi")
+            some = some.select(F.col("id").alias("node"), planes_column(F.col("body"), ngram).alias("planes"))
+            signatures = stored(some.join(nodes.select("node", "bands"), "node"), "signatures")
+        at = stored(at.join(signatures, "node").withColumn("at", F.array_position("bands", F.col("bucket"))), "signed")
         some = at.where(F.pmod(F.xxhash64("node", F.lit(wide)), F.col("n")) < wide)
         some = some.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "label", "near", "bands", "planes")])
         # a bucket of an earlier band that both are in has made the pair
