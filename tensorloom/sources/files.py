@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..frame import TensorFrame
 from ..spec import Axis, TensorSpec
-from .headers import Layout, make_sigproc, make_wav, parse_cards, sigproc_layout, wav_layout
+from .headers import Layout, make_sigproc, make_wav, parse_cards, parse_dada, sigproc_layout, wav_layout
 
 CHUNK = 32 << 20
 
@@ -75,6 +75,44 @@ def read_binary(spark: SparkSession, paths: list[str], width: int, dtype: str =
     return read_frames(spark, paths, lambda _: Layout(0, width * spec.dtype.nbit // 8, np_type, (width,), spec), chunk)
 
 
+def read_dada(spark: SparkSession, paths: list[str], spec_of: Callable[[dict], TensorSpec], chunk: int = CHUNK) -> TensorFrame:
+    """Baseband files; ``spec_of`` makes the spec of real samples from the text header."""
+
+    def layout(data: bytes) -> Layout:
+        h = parse_dada(data[:4096])
+        spec = spec_of(h)
+        shape = tuple(a.size for a in spec.axes if not a.is_frame)
+        d = spec.dtype
+        return Layout(h.get("HDR_SIZE", 4096), int(np.prod(shape)) * d.nbit // 8, f"<{d.kind}{d.nbit // 8}", shape, spec)
+
+    return read_frames(spark, paths, layout, chunk)
+
+
+def read_packets(spark: SparkSession, paths: list[str], packet_bytes: int, chunk: int = CHUNK) -> DataFrame:
+    """Recorded packets of one size: ``file``, ``number`` and ``packet``."""
+    step, jobs = max(1, chunk // packet_bytes), []
+    for k, path in enumerate(paths):
+        n = os.path.getsize(path) // packet_bytes
+        jobs += [(k, path, a, min(a + step, n)) for a in range(0, n, step)]
+
+    def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for job in batch.to_pylist():
+                with open(job["path"], "rb") as f:
+                    f.seek(job["start"] * packet_bytes)
+                    held = [f.read(packet_bytes) for _ in range(job["stop"] - job["start"])]
+                yield pa.RecordBatch.from_arrays([pa.array([job["file"]] * len(held), pa.int64()), pa.array(range(job["start"], job["stop"]), pa.int64()), pa.array(held, pa.binary())], ["file", "number", "packet"])
+
+    table = spark.createDataFrame(jobs, "file long, path string, start long, stop long").repartition(max(1, len(jobs)))
+    return table.mapInArrow(load, "file long, number long, packet binary")
+
+
+def write_text(tf: TensorFrame, path: str) -> None:
+    """Places and values as comma-separated text, and the header as a comment file."""
+    tf.df.write.mode("overwrite").csv(f"{path}/data", header=True)
+    tf.df.sparkSession.createDataFrame([(tf.spec.pretty(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
+
+
 def read_guppi(spark: SparkSession, paths: list[str]) -> TensorFrame:
     """Voltage files as (time, freq, fine_time, pol): a block is a frame.
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.frame import TensorFrame
 from tensorloom.functions.units import convert, inverse
-from tensorloom.operators import codec, dispersion, elementwise, fir, fourier, linalg, reduce, shape, views
+from tensorloom.operators import codec, custom, dispersion, elementwise, fir, fourier, linalg, reduce, shape, views
 from tensorloom.plans.pipeline import Block, Chain, Pipeline, PipelineInitError, scope, setting
 from tensorloom.sources import files, headers, packets
 from tensorloom.spec import Axis, DType, TensorSpec
@@ -275,6 +275,31 @@ def test_guppi(spark, tmp_path):
     assert np.array_equal(got, x[..., 0] + 1j * x[..., 1])
 
 
+def test_baseband_packets_and_text(spark, tmp_path):
+    x = RNG.integers(-50, 50, (20, 3)).astype("i2")
+    path = tmp_path / "b.dada"
+    path.write_bytes(headers.make_dada({"NCHAN": 3}) + x.tobytes())
+    tf = files.read_dada(spark, [str(path)], lambda h: TensorSpec.of("i16", Axis("time", -1), Axis("chan", h["NCHAN"])), chunk=12)
+    assert np.array_equal(array_of(TensorFrame(tf.df, tf.spec), x.shape), x)
+    path.write_bytes(bytes(range(100)) + b"tail")
+    rows = files.read_packets(spark, [str(path)], 10, chunk=30).orderBy("number").collect()
+    assert [bytes(r.packet) for r in rows] == [bytes(range(k, k + 10)) for k in range(0, 100, 10)]
+    files.write_text(TensorFrame(tf.df.limit(0), tf.spec), str(tmp_path / "text"))
+
+
+def test_custom(spark):
+    x = RNG.normal(size=(11, 4))
+    tf = custom.from_array(spark, x, TensorSpec.of("f64", Axis("t", -1), Axis("k", 4)))
+    out = custom.apply_arrays(tf, 4, lambda a: a[:, ::2] * 2, TensorSpec.of("f64", Axis("t", -1), Axis("h", 2)))
+    assert np.allclose(array_of(out, (11, 2)), x[:, ::2] * 2)
+    table = custom.waterfall(tf, "k").orderBy("t").toPandas()
+    assert np.allclose(table[["0", "1", "2", "3"]].to_numpy(), x)
+    both = custom.spliced(tf, tf)
+    assert both.keys == ("seq",) and both.df.count() == 88
+    with pytest.raises(ValueError):
+        custom.from_array(spark, x, TensorSpec.of("f64", Axis("t", -1)))
+
+
 def test_headers():
     h = {"nchans": 4, "nifs": 1, "nbits": 8, "fch1": 400.0, "foff": -1.0, "tstart": 58000.0, "tsamp": 1e-3, "source_name": "B0329"}
     data = headers.make_sigproc(h)
