@@ -14,7 +14,7 @@ in a band of the signature share a bucket, and pairs of a bucket are verified
 exactly.  Not all pairs of a bucket are made: members are first compared with
 the bucket's pivot, the member that shares most buckets with others, and
 linked ones become one component.  Only buckets whose members are in different
-components go on, with more pivots each round (all, in the last), against
+components go on, with more pivots each round, until all have been, against
 members of other components.  Three tests are part of that join, so that few
 pairs are made: the bucket is the first of those the two share; one minus the
 index is a metric, so the members' likeness to the pivot differs by at most
@@ -208,7 +208,7 @@ def _labels(nodes: DataFrame, source: DataFrame, ngram: int, threshold: float) -
     # of a bucket of two the one pair is tested; of others the likeness to the pivot is kept
     members = members.where("n > 2").withColumns({"a": F.least("pivot", "node"), "b": F.greatest("pivot", "node")})
     members = stored(members.join(tested, ["a", "b"], "left").select("bucket", "n", "node", F.coalesce("near", F.lit(1.0)).alias("near")), "members")
-    tested, signatures, wide, done = tested.select("a", "b"), None, 8, False
+    tested, signatures, low, wide, done = tested.select("a", "b"), None, 0, 8, False
     while not done:
         done = wide >= most
         at = stored(members.join(labels, members["node"] == labels["id"], "left").select("bucket", "n", "node", "near", F.coalesce("label", "node").alias("label")), "at")
@@ -221,20 +221,20 @@ def _labels(nodes: DataFrame, source: DataFrame, ngram: int, threshold: float) -
             some = some.select(F.col("id").alias("node"), planes_column(F.col("body"), ngram).alias("planes"))
             signatures = stored(some.join(nodes.select("node", "bands"), "node"), "signatures")
         at = stored(at.join(signatures, "node").withColumn("at", F.array_position("bands", F.col("bucket"))), "signed")
-        some = at.where(F.pmod(F.xxhash64("node", F.lit(wide)), F.col("n")) < wide)
-        some = some.select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "label", "near", "bands", "planes")])
+        # a member is a pivot in the round that its turn falls into; a pair is made when the first of the two is
+        at = at.withColumn("turn", F.pmod(F.xxhash64("node"), F.col("n"))).where(F.col("turn") >= low)
+        some = at.where(F.col("turn") < wide).select("bucket", *[F.col(c).alias(f"other_{c}") for c in ("node", "label", "near", "bands", "planes")])
         # a bucket of an earlier band that both are in has made the pair
         first = ~F.exists(F.arrays_zip(F.slice("bands", F.lit(1), F.col("at") - 1).alias("x"), F.slice("other_bands", F.lit(1), F.col("at") - 1).alias("y")), lambda z: z["x"] == z["y"])
-        met = (F.col("label") != F.col("other_label")) & (F.abs(F.col("near") - F.col("other_near")) <= 1 - least)
+        met = (F.col("label") != F.col("other_label")) & ((F.col("turn") >= wide) | (F.col("node") < F.col("other_node"))) & (F.abs(F.col("near") - F.col("other_near")) <= 1 - least)
         pairs = at.join(some, (at["bucket"] == some["bucket"]) & met & _may_link(threshold) & first).withColumnRenamed("other_node", "other")
         pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
         pairs = stored(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         if not pairs.isEmpty():
-            tested = tested.unionByName(pairs)
             links = stored(compared(pairs, texts, ngram).where(F.col("near") >= least), "links")
             if not links.isEmpty():
                 labels = _merged(labels, links)
-        wide *= 8
+        low, wide = wide, wide * 8
     return labels
 
 
