@@ -6,7 +6,11 @@ mean goes through a linear softmax.  Embeddings and softmax are trained by
 stochastic gradient descent in numpy.  One part of the labelled sample is kept
 back: on short pieces of it, where errors do occur, a temperature is fitted,
 and the score below which at most ``reject_rate`` of the correctly labelled
-pieces fall becomes the rejection threshold.
+pieces fall becomes the rejection threshold.  A softmax divides the vote among
+the known labels even if it is none of them, so there is a second threshold,
+for the share of n-grams never met: at most ``reject_rate`` of the pieces of
+all texts of the sample have more that no other text has.  ``_DOUBT`` more
+n-grams are counted as met, as a few unmet ones say little of a short text.
 
 The fit uses a bounded sample: up to ``per_label`` rows of each label, picked
 by a hash of their id, and of each an excerpt of at most ``excerpt`` characters
@@ -33,6 +37,7 @@ from .tables import small_batches
 _LETTER = regex.compile(r"\p{L}")
 _ASCII = np.array([c if chr(c).isalpha() else 32 for c in range(128)], dtype=np.uint32)
 _CHUNK = 1 << 18
+_DOUBT = 60
 
 
 def _hashes(text: str, buckets: int) -> Iterator[np.ndarray]:
@@ -55,23 +60,28 @@ class LanguageModel:
     labels: list[str]
     table: np.ndarray  # embedding times softmax weights, by bucket
     bias: np.ndarray
+    met: np.ndarray  # texts of the sample with an n-gram of the bucket
     temperature: float = 1.0
     threshold: float = 0.0
+    most_unmet: float = 1.0
 
-    def logits(self, text: str) -> np.ndarray:
-        total, n = np.zeros(len(self.labels)), 0
+    def measure(self, text: str, others: int = 1) -> tuple[np.ndarray, float]:
+        """Logits, and the share of n-grams that fewer than ``others`` texts have."""
+        total, n, unmet = np.zeros(len(self.labels)), 0, 0
         for h in _hashes(text, len(self.table)):
             total += self.table[h].sum(axis=0, dtype=np.float64)
             n += len(h)
-        return total / max(n, 1) + self.bias
+            unmet += len(h) - int(np.count_nonzero(self.met[h] >= others))
+        return total / max(n, 1) + self.bias, unmet / (n + _DOUBT)
 
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         """Label, score from 0 to 1, and whether it is rejected."""
         if not text or not self.labels or not _LETTER.search(text):
             return "und", 0.0, True
-        p = _softmax(self.logits(text) / self.temperature)
+        z, unmet = self.measure(text)
+        p = _softmax(z / self.temperature)
         k = int(p.argmax())
-        return self.labels[k], float(min(1.0, p[k])), bool(p[k] < self.threshold)
+        return self.labels[k], float(min(1.0, p[k])), bool(p[k] < self.threshold or unmet > self.most_unmet)
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -83,7 +93,7 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int
     """SGD on ``texts``; every fifth is kept for the calibration."""
     names = sorted(set(labels))
     if not names:
-        return LanguageModel([], np.zeros((1, 0)), np.zeros(0))
+        return LanguageModel([], np.zeros((1, 0)), np.zeros(0), np.zeros(1, np.int32))
     rng = np.random.default_rng(seed)
     emb = rng.normal(0, 0.1, (buckets, dim))
     w, b = rng.normal(0, 0.1, (dim, len(names))), np.zeros(len(names))
@@ -112,9 +122,16 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int
             b -= lr * g
             emb[ids] -= lr * 20 * share * back
             step += 1
-    model = LanguageModel(names, (emb @ w).astype(np.float32), b)
-    pieces = [(t[a : a + n], order[labels[i]]) for i in kept for t in [texts[i]] for n in (20, 40, 80, len(t)) for a in [int(rng.integers(0, max(1, len(t) - n)))]]
-    z = np.array([model.logits(t) for t, _ in pieces])
+    met = np.zeros(buckets, np.int32)
+    for t in texts:
+        met[np.unique(np.concatenate(list(_hashes(t, buckets))))] += 1
+    model = LanguageModel(names, (emb @ w).astype(np.float32), b, met)
+
+    def cut(some: list[int]) -> list[tuple[str, int]]:
+        return [(t[a : a + n], order[labels[i]]) for i in some for t in [texts[i]] for n in (20, 40, 80, len(t)) for a in [int(rng.integers(0, max(1, len(t) - n)))]]
+
+    pieces = cut(kept)
+    z = np.array([model.measure(t)[0] for t, _ in pieces])
     y = np.array([k for _, k in pieces])
 
     def loss(t: float) -> float:
@@ -126,8 +143,9 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int
     s = np.array([_softmax(x / model.temperature) for x in z])
     right = s.max(axis=1)[s.argmax(axis=1) == y]
     if len(right):
-        # only what is close to an even vote of all labels: a clean text must not go by chance
-        model.threshold = float(min(np.quantile(right, reject_rate), 1 / max(2, len(names)) + 0.02))
+        model.threshold = float(np.quantile(right, reject_rate))
+    if len(texts) > 1:
+        model.most_unmet = float(np.quantile([model.measure(t, 2)[1] for t, _ in cut(list(range(len(texts))))], 1 - reject_rate))
     return model
 
 

@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tensorloom.llm import backoff, bpe, extract, langid, urlmodel, winnow
 
@@ -83,6 +84,20 @@ def test_language(spark, sf):
     assert langid.fit(docs(spark, [])).predict("text") == ("und", 0.0, True)
 
 
+def test_language_none_of_these(spark, sf):
+    table = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.01')}/documents.parquet")
+    rng = random.Random(3)
+    junk = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(rng.randint(5, 60))) for _ in range(50)]
+    foreign = ["Dzisiaj rano poszedłem do sklepu, żeby kupić chleb i mleko dla całej rodziny.", "Сегодня утром я пошёл в магазин, чтобы купить хлеб.", "今日は朝からパンと牛乳を買いに店へ行きました。", "Bu sabah bütün aile için ekmek ve süt almak üzere markete gittim."]
+    for unlearned in ("de", "es", "fr"):
+        model = langid.fit(table.where(~langid.held_out() & (F.col("lang") != unlearned)))
+        assert all(model.predict(t)[2] for t in junk + foreign)
+        judged = langid.identify(table.where(langid.held_out()), model).select("lang", "language.rejected").collect()
+        other = [r.rejected for r in judged if r.lang == unlearned]
+        known = [r.rejected for r in judged if r.lang != unlearned]
+        assert len(other) >= 20 and sum(other) >= 0.9 * len(other) and sum(known) <= 0.02 * len(known)
+
+
 def brute_winnow(text, gram, window):
     if not text:
         return []
