@@ -6,10 +6,13 @@ the benchmark's passages ``A`` gives the latent basis: the range of ``(A'A)^q``
 applied to random vectors.  The products are made by the executors and summed
 by term.
 
-All passages of all documents are then projected, and one whose cosine with a
-passage of an item reaches ``cosine`` is a candidate.  (What a projection
-keeps of a passage is at most the share of its terms that the benchmark has;
-passages for which that is too little are not multiplied out.)  A candidate is
+All passages of all documents that have a term of the benchmark are then
+projected; other terms count for nothing, so what stands beside an item does
+not hide it.  A passage is a candidate for a passage of an item if it holds
+``HOLDS`` of it, that is their product by the item's own square, or if it is as
+long as ``OF_ITEM`` of it and their cosine reaches ``cosine``.  A verbatim item of
+at most ``WINDOW`` words has half of its square in one of the windows over it,
+wherever they begin.  A candidate is
 checked in the words around it: the longest common subsequence with the whole
 item must cover ``covers`` of the item's words, or, for paraphrases,
 ``answer_covers`` of them and in the neighbourhood most of the item's answer,
@@ -36,8 +39,9 @@ from .tables import small_batches
 from .words import word_hashes
 
 TERMS, RANK, WINDOW, STRIDE = 1 << 18, 256, 24, 12
-#: A passage must keep this much of its length, and this share of what the item's passage keeps.
-ENERGY, OF_ITEM = 0.5, 0.45
+#: Shares of the item's passage: of its square in the product with it, of its length beside the cosine.
+HOLDS, OF_ITEM = 0.4, 0.45
+_CHUNK = 512  # windows that are projected at once
 
 
 def _terms(hashes: np.ndarray) -> np.ndarray:
@@ -159,17 +163,16 @@ class Index:
             h = word_hashes(text)
             for a, b in windows(len(h), WINDOW, STRIDE // 2):
                 owner.append(len(self.items))
-                ids, w = _weights(_terms(h[a:b]), idf)
-                found.append(w @ basis[self.row[ids]])
+                t = _terms(h[a:b])
+                found.append(idf[t] @ basis[self.row[t]])
             if len(h):
                 self.items.append(Item(key, h.tolist(), _answer(text, idf)))
         self.owner = np.array(owner, np.int64)
         found = np.array(found).reshape(len(owner), basis.shape[1])
-        self.energy = np.sqrt((found * found).sum(axis=1)).astype(np.float32)  # what the basis keeps of the passage
+        self.energy = np.sqrt((found * found).sum(axis=1)).astype(np.float32)  # what the basis keeps of the passage's length
         self.vectors = (found / np.maximum(self.energy, 1e-9)[:, None]).T.astype(np.float32).copy()
         self.table = basis.astype(np.float32)
         self.table[1:] *= idf[terms][:, None]
-        self.squares = (idf * idf).astype(np.float32)
 
     def search(self, h: np.ndarray, cosine: float, covers: float, answer_covers: float) -> dict[int, tuple[float, float, float]]:
         """By item number: cosine, share of common subsequence, share of answer."""
@@ -177,35 +180,42 @@ class Index:
         n = len(h)
         if not n or not self.items:
             return found
-        terms = _terms(h)
-        row = self.row[terms]
+        row = self.row[_terms(h)]
         cuts = np.arange(0, n, STRIDE)
-        square = self.squares[terms]
-        norms, known = np.add.reduceat(square, cuts), np.add.reduceat(np.where(row > 0, square, 0), cuts)
+        known = np.add.reduceat(row > 0, cuts, dtype=np.int64)
         if len(cuts) > 1:  # a window is two strides
-            norms, known = norms[:-1] + norms[1:], known[:-1] + known[1:]
-        at = np.flatnonzero(known >= ENERGY**2 * norms)
-        if not len(at):
-            return found
-        row = np.append(row, np.zeros(WINDOW, row.dtype))  # beyond the last word is nothing
-        parts = np.stack([np.add.reduce(self.table[row[a : a + WINDOW]]) for a in (at * STRIDE).tolist()])
-        length = np.sqrt(np.einsum("ij,ij->i", parts, parts))
-        energy = length / np.sqrt(np.maximum(norms[at], 1e-9))
-        scores = (parts / np.maximum(length, 1e-9)[:, None]) @ self.vectors
-        for r, c in np.argwhere((scores >= cosine) & (energy[:, None] >= OF_ITEM * self.energy)).tolist():
+            known = known[:-1] + known[1:]
+        row = np.append(row, np.zeros(2 * WINDOW, row.dtype))  # beyond the last word is nothing
+        for r, c, score in self._candidates(row, np.flatnonzero(known), cosine):
             k = int(self.owner[c])
             best = found.get(k, (0, 0, 0))[1]
             if best == 1:
                 continue
             item = self.items[k]
-            m, start = len(item.words), int(at[r]) * STRIDE
+            m, start = len(item.words), r * STRIDE
             near = h[max(0, start - m) : start + WINDOW + m].tolist()
             share = common_subsequence(item.words, near) / m
             answer = len(item.answer & set(near)) / max(1, len(item.answer))
             if share > best and (share >= covers or share >= answer_covers and answer >= 0.6):
-                found[k] = (float(scores[r, c]), share, answer)
+                found[k] = (score, share, answer)
         return found
 
+    def _candidates(self, row: np.ndarray, at: np.ndarray, cosine: float) -> Iterator[tuple[int, int, float]]:
+        """Number of the window, of the item's passage, and cosine."""
+        strides = row[: len(row) // STRIDE * STRIDE].reshape(-1, STRIDE)
+        for first in range(0, len(at), _CHUNK):
+            some = at[first : first + _CHUNK]
+            own = np.union1d(some, some + 1)
+            sums = np.stack([np.add.reduce(self.table[r]) for r in strides[own]])
+            k = np.searchsorted(own, some)
+            parts = sums[k] + sums[k + 1]
+            length = np.maximum(np.sqrt(np.einsum("ij,ij->i", parts, parts)), np.float32(1e-9))
+            product = parts @ self.vectors
+            r, c = np.nonzero(product >= min(HOLDS, OF_ITEM * cosine) * self.energy)  # so much in either case
+            product, score = product[r, c], product[r, c] / length[r]
+            found = (product >= HOLDS * self.energy[c]) | (score >= cosine) & (length[r] >= OF_ITEM * self.energy[c])
+            yield from zip(some[r[found]].tolist(), c[found].tolist(), score[found].tolist(), strict=True)
+
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", block: int = 500, cosine: float = 0.5, covers: float = 0.75, answer_covers: float = 0.5) -> DataFrame:
     """One row for each document and benchmark item that it holds.

@@ -149,6 +149,23 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(docs(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_leaks_beside_rare_tokens(spark):
+    """Short items among tokens that are much rarer than their own words, as those of a large corpus are."""
+    rng = random.Random(12)
+    common = words(rng, 300)
+    text = lambda n: [rng.choice(common) for _ in range(n)]
+    items = [(i, text(rng.randint(6, 24))) for i in range(40)]
+    rare = lambda n: ["".join(rng.choice("0123456789abcdef") for _ in range(12)) for _ in range(n)]
+    rows, leaks = [(10_000 + k, " ".join(text(60))) for k in range(400)], set()
+    for k, (i, item) in enumerate(items * 6):
+        n = (0, 2, 4, 8, 16, 40)[k // len(items)]
+        rows.append((k, " ".join(text(rng.randint(0, 30)) + rare(n) + item + rare(n) + text(rng.randint(0, 30)))))
+        leaks.add((k, i))
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    found = {(r.doc_id, r.item_id): r.share for r in decontaminate.find_leaks(docs(spark, rows), bench).collect()}
+    assert leaks <= {p for p, share in found.items() if share == 1}
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
