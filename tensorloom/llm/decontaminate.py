@@ -21,7 +21,8 @@ that is the rarest words of its last sentence.
 Items are dealt with in blocks of about ``block`` rows, so what goes to the
 executors is bounded however large the benchmark is; each block is one pass.
 Documents are not shuffled.  A null text is an empty one; empty documents and
-items match nothing.  Repeated rows give repeated results.
+items match nothing.  For an item without a key a hash of its text stands.
+Repeated rows give repeated results.
 """
 
 from __future__ import annotations
@@ -229,7 +230,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text:
     idf = np.log((1 + size) / (1 + df)).astype(np.float32) + np.float32(0.1)
     schema = "doc_key long, item_key long, cosine double, share double, answer_share double"
     names = {"doc_key": key, "item_key": item}
-    items = benchmark.where(F.col(f"`{item}`").isNotNull() & F.col("text").isNotNull()).select(F.col(f"`{item}`").cast("long").alias("item_key"), "text")
+    items = benchmark.where(F.col("text").isNotNull()).select(F.coalesce(F.col(f"`{item}`").cast("long"), F.xxhash64("text")).alias("item_key"), "text")
     out = spark.createDataFrame([], schema)
     seen = None
     while True:

@@ -182,3 +182,23 @@ def test_pipeline(spark, sf):
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, docs.limit(0), sf)
         assert empty.count() == 0, name
+
+
+def test_pipeline_missing_and_repeated_ids(spark, tmp_path):
+    """Rows that share a key, or have none, are judged each for itself."""
+    import corpus_pipeline
+
+    rng = random.Random(9)
+    text = lambda n: " ".join(words(rng, n))
+    items = [text(20), text(30)]
+    leaking = [f"{text(40)} {item} {text(40)}" for item in items for _ in range(2)]
+    clean = [text(100) for _ in range(12)]
+    keys = [None, 7] * 6
+    rows = list(zip(keys, clean, strict=True)) + list(zip([None, 7, 7, None], leaking, strict=True))
+    rows += [(7, clean[0]), (3, clean[1]), (None, clean[2]), (7, clean[3])]  # copies: an id is better than none, 3 than 7
+    spark.createDataFrame([(1, items[0]), (None, items[1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    one = sorted((r.doc_id, r.text) for r in corpus_pipeline.one_of_each(spark, docs(spark, rows), "").na.fill(-1).collect())
+    ids = [7, 3, *keys[2:]]
+    assert one == sorted((-1 if k is None else k, t) for k, t in [*zip(ids, clean, strict=True), *zip([None, 7, 7, None], leaking, strict=True)])
+    left = corpus_pipeline.decontaminated(spark, docs(spark, rows), str(tmp_path)).collect()
+    assert sorted(r.text for r in left) == sorted([*clean, *clean[:4]])
