@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tensorloom.llm.bpe import bpe_encode
+from tensorloom.llm.bpe import bpe_round_trip
 from tensorloom.llm.decontaminate import find_leaks
 from tensorloom.llm.langid import fit, held_out, identify
 from tensorloom.llm.minhash import near_duplicates
@@ -67,9 +67,11 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids (packed, 32 bits each) beside the documents' columns."""
-    ids = bpe_encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return ids.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
+    """Token ids (packed, 32 bits each) beside the documents' columns, and whether they decode to the text."""
+    both = bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, out="__bpe")
+    ids = F.col("__bpe.token_ids")
+    same = F.col("__bpe.decoded") == F.coalesce("text", F.lit(""))
+    return both.select(*docs.columns, ids.alias("token_ids"), (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), same.alias("decodes"))
 
 
 STAGES = [

@@ -72,6 +72,14 @@ def test_bpe_rows(spark, reference):
     assert base64.b64encode(bpe.ByteDecoder.load(VOCAB).table[0])
 
 
+def test_tokens_stage_decodes(spark, reference):
+    import corpus_pipeline
+
+    got = {r.doc_id: r for r in corpus_pipeline.tokens(spark, docs(spark, TEXTS), "").collect()}
+    for i, t in enumerate(TEXTS):
+        assert got[i].decodes is True and got[i].n_tokens == len(reference.encode_ordinary(t or "")) and got[i].text == t
+
+
 def test_language(spark, sf):
     table = spark.read.parquet(f"{sf}/documents.parquet")
     model = langid.fit(table.where(~langid.held_out()))
