@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .tables import small_batches, stored
 from .words import mix, word_hashes
 
-ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
+ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 
 
 def ngrams(words: np.ndarray, order: int) -> list[np.ndarray]:

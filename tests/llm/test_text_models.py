@@ -185,6 +185,13 @@ def test_backoff(spark, order):
     assert backoff.score_documents(docs(spark, [])).count() == 0
 
 
+def test_backoff_uses_longer_context(spark):
+    """As registered: after "a b" always c, after "x b" always d."""
+    texts = ["a b c"] * 3 + ["x b d"] * 3
+    found = backoff.score_documents(docs(spark, texts)).collect()
+    assert all(r.log_score == pytest.approx(math.log(3 / 18)) for r in found)
+
+
 def test_urls(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
     model = urlmodel.fit(pages)
