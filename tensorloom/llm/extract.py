@@ -67,7 +67,7 @@ def _signs(tag: str, attributes: str) -> tuple[str, ...]:
         elif name.lower() == "hidden":
             out.append("=hidden")
         else:
-            out += ["=" + w.lower() for w in _WORD.findall(value)[:12]]
+            out += ["=" + w.lower() for w in _WORD.findall(value)]
     return tuple(out)
 
 
@@ -118,7 +118,8 @@ def leaf_blocks(page: str) -> list[Block]:
             while stack and tag in CLOSED_BY.get(stack[-1][0], ()):
                 stack.pop()
         if tag not in VOID:
-            stack.append((tag, _signs(tag, m[3][:2000])))
+            signs = _signs if len(m[3]) <= 2000 else _signs.__wrapped__  # long ones are read whole, but not kept
+            stack.append((tag, signs(tag, m[3])))
             links += tag == "a"
     text_until(len(page))
     end()

@@ -219,6 +219,14 @@ def test_blocks():
     assert extract.leaf_blocks("") == [] and extract.leaf_blocks("<script>never closed") == []
 
 
+def test_signs_read_all_attributes():
+    long = f'data-x="{"y" * 5000}"'
+    assert "=comments" in extract._signs("div", f'class="{" ".join(f"u-{i}" for i in range(30))} comments"')
+    page = f'<div {long} class="sidebar"><p>one</p></div><div {long} style="display: none"><p>two</p></div>'
+    signs = [b.path for b in extract.leaf_blocks(page)]
+    assert "=sidebar" in signs[0] and "=hidden" in signs[1]
+
+
 def test_chain_viterbi(chain):
     features = extract._features(extract.leaf_blocks("<nav><li>x</li></nav><p>One two three.</p><p>Four five.</p>"))
     e = chain.scores(features)
