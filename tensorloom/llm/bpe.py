@@ -9,10 +9,9 @@ bytes, and an encoding is valid iff each neighbouring pair of tokens is.  So
 the token that ends at a position is the one that starts at a live position
 and forms a valid pair with the token ending there.  What all live positions
 agree on is emitted; the lookahead is bounded by the longest entry.  States
-and arcs are made when first met, up to ``max_states``: the common ones come
-early and stay.  Where an arc is missing then, the rest of the piece is run
-through the undeterminised transducer, so memory is bounded.  (More states
-were measured to be no faster: rare pieces leave the common ones soon.)
+and arcs are made when first met.  When ``max_states`` are held all are dropped
+but the one the run is in, and made again as they are met, so memory is bounded
+and every piece is encoded by the transducer.
 
 Decoding is the inverse: a table look-up per token and an incremental UTF-8
 machine that holds back at most three bytes of an unfinished character.
@@ -47,7 +46,7 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class _State:
-    """Determined by ``last`` and ``pending``: see the module's two facts."""
+    """Live positions, and ``last`` where one is directly after it: all that the future depends on."""
 
     __slots__ = ("arcs", "final", "last", "pending", "chains")
 
@@ -86,7 +85,7 @@ class _Pieces(dict):
 class ByteBpe:
     """Encoder for one table of ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = 4_000, max_pieces: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = 150_000, max_pieces: int = 250_000):
         self.ranks = ranks
         self.table = {i: t for t, i in ranks.items()}
         # a trie of the entries: child by node and byte, entry (or -1) and whether it goes on by node
@@ -105,8 +104,9 @@ class ByteBpe:
         self.split = regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
         self.max_states = max_states
         self.valid: dict[int, bool] = {}  # by the two ids
+        self.halves: dict[int, tuple[int, int] | None] = {}
         self.pieces = _Pieces(self.encode_piece, max_pieces)
-        self.states: dict[tuple[int, bytes], _State] = {}
+        self.states: dict[tuple, _State] = {}
         self.root = self._state(-1, b"", [(0, 0, ())])
 
     @classmethod
@@ -116,33 +116,77 @@ class ByteBpe:
         return _ENCODERS[path, pattern]
 
     def _state(self, last: int, pending: bytes, chains: list) -> _State:
-        key = (last, pending)
+        if chains[0][2]:
+            last = -2  # every way has a token after it, so nothing will be asked of it
+        key = (last, tuple(chains))
         if (known := self.states.get(key)) is None:
             known = _State(last, pending, chains)
             self.states[key] = known
         return known
 
-    def merge(self, data: bytes) -> list[int]:
-        """Merge by rank until nothing merges: the definition of BPE.
+    def _forget(self, s: _State) -> _State:
+        """Drop all states but ``s``, from which the run goes on, and begin anew."""
+        for old in self.states.values():
+            old.arcs = None  # states form rings, which would outlive their last use
+        self.states.clear()
+        self.root = self._state(-1, b"", [(0, 0, ())])
+        return self._state(s.last, s.pending, s.chains)
+
+    def merge(self, data: bytes, until: int = 1) -> list[bytes]:
+        """Merge by rank until nothing merges, or ``until`` parts are left: the definition of BPE.
 
-        Used on one or two vocabulary entries at a time.
+        Used on one vocabulary entry at a time.
         """
         parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
+        while len(parts) > until:
             rank, at = min((self.ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
             if rank == 1 << 60:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return parts
+
+    def _halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens that ``token`` was merged from; None for a byte.  (-1, -1) if merging does not make it."""
+        data = self.table[token]
+        parts = self.merge(data, 2) if len(data) > 1 else []
+        made = len(parts) == 2 and self.merge(data) == [data]
+        halves = self.halves[token] = tuple(self.ranks[p] for p in parts) if made else (-1, -1) if len(data) > 1 else None
+        return halves
 
     def _follows(self, before: int, token: int) -> bool:
-        """Whether ``token`` can stand after ``before`` (-1: at the start)."""
+        """Whether ``token`` can stand after ``before`` (-1: at the start).
+
+        Merges are undone from the latest on, on the side whose token is of
+        the higher rank.  What stands at the border must not have merged across
+        it before the merge that was undone last: of equal ranks the left one
+        comes first.
+        """
         if len(self.valid) >= 300_000:
             self.valid.clear()
-        own = [token] if before < 0 else [before, token]
-        known = self.valid[before << 32 | token] = self.merge(b"".join(self.table[t] for t in own)) == own
+        known = self.valid[before << 32 | token] = self._apart(before, token)
         return known
 
+    def _apart(self, left: int, right: int) -> bool:
+        table, ranks, halves = self.table, self.ranks, self.halves
+        for token in (left, right):
+            if token >= 0 and (halves[token] if token in halves else self._halves(token)) == (-1, -1):
+                return False
+        if left < 0:
+            return True
+        limit = 1 << 60  # a merge across of a lower rank would have come first
+        while True:
+            across = ranks.get(table[left] + table[right])
+            if across is not None and across < limit:
+                return False
+            a = halves[left] if left in halves else self._halves(left)
+            b = halves[right] if right in halves else self._halves(right)
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and left > right):
+                limit, left = left, a[1]
+            else:
+                limit, right = right + 1, b[0]
+
     def _arc(self, s: _State, byte: int) -> tuple[bytes, _State]:
         pending = s.pending + bytes((byte,))
         child, entry, inner, valid, live, here = self.child, self.entry, self.inner, self.valid, [], None
@@ -159,9 +203,11 @@ class ByteBpe:
                 live.append((at, node, chain))
         live.append((len(pending), 0, here))
         # what all live positions agree on can be emitted
-        same, most = 0, min([len(way[2]) for way in live])
-        while same < most and all([way[2][same] == here[same] for way in live]):
-            same += 1
+        same = 0
+        if live[0][2]:
+            most = min([len(way[2]) for way in live])
+            while same < most and all([way[2][same] == here[same] for way in live]):
+                same += 1
         if same:
             done = here[:same]
             cut = sum([len(self.table[t]) for t in done])
@@ -173,51 +219,16 @@ class ByteBpe:
         s.arcs[byte] = arc
         return arc
 
-    def _search(self, last: int, data: bytes) -> list[int]:
-        """Tokens of ``data`` after the token ``last``, by depth-first search.
-
-        The longest entry that may follow is tried first.  A position that
-        leads nowhere is not entered again: whatever way leads to it is the
-        one encoding of the bytes before it.
-        """
-        child, entry, valid, n = self.child, self.entry, self.valid, len(data)
-        at, before, fresh, dead = 0, last, True, set()
-        out, ways, left = [], [], []
-        while at < n:
-            if fresh:
-                node, left, end = 0, [], at
-                while end < n and (node := child.get(node << 8 | data[end])) is not None:
-                    end += 1
-                    if (token := entry[node]) >= 0:
-                        left.append((token, end))
-            fresh = False
-            while left:
-                token, end = left.pop()
-                if end in dead:
-                    continue
-                follows = valid.get(before << 32 | token)
-                if self._follows(before, token) if follows is None else follows:
-                    ways.append((at, before, left))
-                    out.append(token)
-                    at, before, fresh = end, token, True
-                    break
-            if not fresh:
-                dead.add(at)
-                at, before, left = ways.pop()
-                out.pop()
-        return out
-
     def encode_piece(self, data: bytes) -> bytes:
         """Packed ids (little-endian, 32 bits each) of one pre-token."""
         if (whole := self.ranks.get(data)) is not None:
             return whole.to_bytes(4, "little")
         out, s = [], self.root
-        for at, byte in enumerate(data):
+        for byte in data:
             arc = s.arcs.get(byte) if s.arcs else None
             if arc is None:
                 if len(self.states) >= self.max_states:
-                    out.append(_pack(self._search(s.last, s.pending + data[at:])))
-                    return b"".join(out)
+                    s = self._forget(s)
                 arc = self._arc(s, byte)
             if arc[0]:
                 out.append(arc[0])

@@ -53,6 +53,41 @@ def test_bpe_with_few_states(reference):
         assert list(struct.unpack(f"<{len(packed) // 4}I", packed)) == reference.encode_ordinary(text)
 
 
+def test_bpe_neighbours(codec):
+    """Whether two tokens may stand side by side, against merging their bytes."""
+    rng, ids = random.Random(5), list(codec.table)
+    for k in range(20_000):
+        a, b = (rng.choice(ids), rng.choice(ids)) if k % 2 else (rng.randrange(1500), rng.randrange(1500))
+        own = [codec.table[a], codec.table[b]]
+        assert codec._apart(a, b) == (codec.merge(b"".join(own)) == own)
+
+
+def test_bpe_runs_are_the_transducer(spark, sf):
+    """Every piece that is no entry itself is emitted by arcs of stored states, however few are held."""
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    for most in (200, 150_000):
+        own = bpe.ByteBpe(bpe.read_ranks(VOCAB), public_tokenizers.PATTERN, max_states=most)
+        runs = steps = 0
+        for piece in {p for t in texts for p in own.split.findall(t)}:
+            data = piece.encode()
+            if data in own.ranks:
+                continue
+            before, state, out = len(own.states), own.root, []
+            packed = own.encode_piece(data)
+            assert len(own.states) <= most + 1 or before > most
+            state = own.root
+            for byte in data:  # replay on the arcs that the run left
+                if state.arcs is None or byte not in state.arcs:
+                    break
+                steps += 1
+                emitted, state = state.arcs[byte]
+                out.append(emitted)
+            else:
+                runs += 1
+                assert b"".join(out) + state.final == packed
+        assert most == 200 or runs > 3000 and steps > 6 * runs
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.binary(max_size=40), st.integers(1, 5))
 def test_utf8_machine(data, step):
