@@ -12,8 +12,9 @@ for the share of n-grams never met: at most ``reject_rate`` of the pieces of
 all texts of the sample have more that no other text has.  ``_DOUBT`` more
 n-grams are counted as met, as a few unmet ones say little of a short text.
 
-The fit uses a bounded sample: up to ``per_label`` rows of each label, picked
-by a hash of their id, and of each an excerpt of at most ``excerpt`` characters
+The fit uses a bounded sample: up to about ``per_label`` rows of each label (fewer
+where all labels together would have more than ``most_rows``), picked by a hash
+of their id, and of each an excerpt of at most ``excerpt`` characters
 at a hashed place.  Prediction reads whole texts.
 
 A null text, or one without letters, is ``und`` with score 0 and rejected; so
@@ -149,13 +150,14 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 15, dim: int
     return model
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = 800, excerpt: int = 1500, **options) -> LanguageModel:
+def fit(docs: DataFrame, text: str = "text", label: str = "lang", key: str = "doc_id", per_label: int = 800, excerpt: int = 1500, most_rows: int = 100_000, **options) -> LanguageModel:
     """Train on a bounded sample of the labelled rows of ``docs``."""
     body, name, at = F.col(f"`{text}`"), F.col(f"`{label}`"), F.xxhash64(F.col(f"`{key}`").cast("string"))
     rows = docs.where(name.isNotNull() & body.isNotNull())
-    sizes = rows.groupBy(name.alias("label")).count().orderBy(F.desc("count"), "label").limit(1000).collect()
+    sizes = rows.groupBy(name.alias("label")).count().orderBy("label").collect()  # as many rows as there are languages
     if not sizes:
         return train([], [])
+    per_label = max(1, min(per_label, most_rows // len(sizes)))
     share = F.create_map(*[F.lit(x) for r in sizes for x in (r["label"], min(1.0, per_label / r["count"]))])[name]
     sample = (
         rows.where(F.pmod(at, F.lit(1_000_003)) < share * 1_000_003)

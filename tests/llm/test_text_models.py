@@ -239,7 +239,20 @@ def test_urls(spark, sf):
     assert got[11].verdict == "allow"
     held = urlmodel.judge(pages, model).where("rule is null")
     assert held.where("verdict = 'block' and not url rlike '(spam|bets|casino|ads|pills|track)'").count() == 0
-    assert urlmodel.judge(pages, urlmodel.fit(pages.limit(0))).count() == pages.count()
+    assert urlmodel.judge(pages, urlmodel.fit(pages.limit(0))).where("rule is null and verdict = 'block'").count() == 0
+    twice = urlmodel.judge(pages.unionByName(pages).withColumn("score", F.lit("old")), model)
+    assert twice.count() == 2 * pages.count() and twice.select("page_id", "score", "verdict").distinct().count() == pages.count()
+
+
+def test_urls_beyond_the_seeds(spark, sf):
+    """Hosts without a seed word are told by models that never saw them; ordinary ones stay."""
+    pages = spark.read.parquet(f"{sf.replace('sf0.001', 'sf0.1')}/pages.parquet").select("page_id", "url")
+    unseen = F.col("url").rlike("(free-bets|cheap-pills)")
+    model = urlmodel.fit(pages.where(~unseen & (F.col("page_id") % 2 == 0)))
+    judged = urlmodel.judge(pages.where(unseen | (F.col("page_id") % 2 == 1)), model).where("rule is null").withColumn("unseen", unseen)
+    blocked = {r.unseen: (r.n, r.b) for r in judged.where("unseen or not url rlike '-'").groupBy("unseen").agg(F.count("*").alias("n"), F.sum((F.col("verdict") == "block").cast("int")).alias("b")).collect()}
+    assert blocked[True][0] >= 30 and blocked[True][1] >= 0.9 * blocked[True][0]
+    assert blocked[False][0] >= 500 and blocked[False][1] <= 0.01 * blocked[False][0]
 
 
 @pytest.fixture(scope="module")
