@@ -9,14 +9,19 @@ by term.
 All passages of all documents that have a term of the benchmark are then
 projected; other terms count for nothing, so what stands beside an item does
 not hide it.  A passage is a candidate for a passage of an item if it holds
-``HOLDS`` of it, that is their product by the item's own square, or if it is as
+``HOLDS`` of it, that is their product by the item's own square (less of
+passages shorter than ``WINDOW``), or if it is as
 long as ``OF_ITEM`` of it and their cosine reaches ``cosine``.  A verbatim item of
 at most ``WINDOW`` words has half of its square in one of the windows over it,
-wherever they begin.  A candidate is
+wherever they begin.  Before a window is projected its products are bounded:
+each term adds at most the largest product it has with any passage of a group
+of ``_GROUP``, so a window whose terms' bounds do not add up to the least share
+in any group has no candidate.  The bound loses nothing.  A candidate is
 checked in the words around it: the longest common subsequence with the whole
 item must cover ``covers`` of the item's words, or, for paraphrases,
 ``answer_covers`` of them and in the neighbourhood most of the item's answer,
-that is the rarest words of its last sentence.
+that is the rarest words of its last sentence.  Of an item of less than ``SHORT``
+words the subsequence must lie within its own length and two words more.
 
 Items are dealt with in blocks of about ``block`` rows, so what goes to the
 executors is bounded however large the benchmark is; each block is one pass.
@@ -42,19 +47,23 @@ from .words import word_hashes
 TERMS, RANK, WINDOW, STRIDE = 1 << 18, 256, 24, 12
 #: Shares of the item's passage: of its square in the product with it, of its length beside the cosine.
 HOLDS, OF_ITEM = 0.4, 0.45
+SHORT = 12
 _CHUNK = 512  # windows that are projected at once
+_GROUP = 48  # passages whose bounds are kept together
+_SPAN = STRIDE << 12  # words whose bounds are added at once
 
 
 def _terms(hashes: np.ndarray) -> np.ndarray:
     return (hashes & np.uint64(TERMS - 1)).view(np.int64)
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
+def document_frequencies(docs: DataFrame, text: str = "text", pieces: int = 64) -> tuple[np.ndarray, int]:
     """In how many documents each term occurs, and the number of documents.
 
-    Each task counts its own documents; counts are summed by term, so the
-    driver gets at most ``TERMS`` rows.
+    Each task counts its own documents; its counts, packed in ``pieces`` rows,
+    are added in two steps, so that no group holds those of all tasks.
     """
+    width = TERMS // pieces
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros(TERMS, np.int64), 0
@@ -62,17 +71,20 @@ def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarra
             for t in batch.column(0):
                 total[np.unique(_terms(word_hashes(t.as_py())))] += 1
                 n += 1
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(total[at], n))], ["term", "n"])
+        if n:
+            rows = [total[k * width : (k + 1) * width].tobytes() for k in range(pieces)] + [np.array([n]).tobytes()]
+            yield pa.RecordBatch.from_arrays([pa.array(range(pieces + 1), pa.int64()), pa.array(rows, pa.binary())], ["piece", "counts"])
 
-    rows = docs.select(F.col(f"`{text}`")).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
-    df, size = np.zeros(TERMS, np.int64), 0
-    for term, n in zip(rows["term"].to_pylist(), rows["n"].to_pylist(), strict=True):
-        if term < 0:
-            size = n
-        else:
-            df[term] = n
-    return df, size
+    def add(group: pa.Table) -> pa.Table:
+        total = sum([np.frombuffer(c.as_py(), np.int64) for c in group["counts"]])
+        return pa.table({"piece": group["piece"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+
+    rows = docs.select(F.col(f"`{text}`")).mapInArrow(count, "piece long, counts binary").withColumn("some", F.spark_partition_id() % 200)
+    rows = rows.groupBy("piece", "some").applyInArrow(add, "piece long, counts binary").groupBy("piece").applyInArrow(add, "piece long, counts binary")
+    found = {r["piece"]: np.frombuffer(r["counts"], np.int64) for r in rows.collect()}  # as many rows as pieces
+    if not found:
+        return np.zeros(TERMS, np.int64), 0
+    return np.concatenate([found[k] for k in range(pieces)]), int(found[pieces][0])
 
 
 def windows(n: int, width: int, stride: int) -> list[tuple[int, int]]:
@@ -159,11 +171,12 @@ class Index:
         self.row = np.zeros(TERMS, np.int32)  # of the table, by term; row 0 is empty
         self.row[terms] = np.arange(1, len(terms) + 1)
         basis = np.vstack([np.zeros((1, basis.shape[1])), basis])
-        self.items, owner, found = [], [], []
+        self.items, owner, found, sizes = [], [], [], []
         for key, text in items:
             h = word_hashes(text)
             for a, b in windows(len(h), WINDOW, STRIDE // 2):
                 owner.append(len(self.items))
+                sizes.append(b - a)
                 t = _terms(h[a:b])
                 found.append(idf[t] @ basis[self.row[t]])
             if len(h):
@@ -172,8 +185,23 @@ class Index:
         found = np.array(found).reshape(len(owner), basis.shape[1])
         self.energy = np.sqrt((found * found).sum(axis=1)).astype(np.float32)  # what the basis keeps of the passage's length
         self.vectors = (found / np.maximum(self.energy, 1e-9)[:, None]).T.astype(np.float32).copy()
+        # what must be held of: less of few words, whose part the rest of a window may take away
+        self.held = self.energy * (0.3 + 0.7 * np.minimum(np.array(sizes) / WINDOW, 1)).astype(np.float32)
         self.table = basis.astype(np.float32)
         self.table[1:] *= idf[terms][:, None]
+        own = (self.vectors / np.maximum(self.held, np.float32(1e-9))).T  # products as shares of the passage's own
+        cuts = range(0, len(own), _GROUP)
+        self.bounds = np.zeros((len(self.table), len(cuts)), np.float32)
+        for k, a in enumerate(cuts):
+            for r in range(0, len(self.table), 4096):
+                self.bounds[r : r + 4096, k] = np.maximum((self.table[r : r + 4096] @ own[a : a + _GROUP].T).max(axis=1), 0)
+
+    def _open(self, row: np.ndarray, least: float) -> np.ndarray:
+        """The numbers of the windows of which some product may be as large as ``least``."""
+        sums = np.concatenate([np.add.reduceat(self.bounds[row[a : a + _SPAN]], np.arange(0, min(_SPAN, len(row) - a), STRIDE), axis=0) for a in range(0, len(row), _SPAN)])
+        if len(sums) > 1:  # a window is two strides
+            sums = sums[:-1] + sums[1:]
+        return np.flatnonzero((sums >= least * 0.999).any(axis=1))
 
     def search(self, h: np.ndarray, cosine: float, covers: float, answer_covers: float) -> dict[int, tuple[float, float, float]]:
         """By item number: cosine, share of common subsequence, share of answer."""
@@ -182,12 +210,9 @@ class Index:
         if not n or not self.items:
             return found
         row = self.row[_terms(h)]
-        cuts = np.arange(0, n, STRIDE)
-        known = np.add.reduceat(row > 0, cuts, dtype=np.int64)
-        if len(cuts) > 1:  # a window is two strides
-            known = known[:-1] + known[1:]
+        at = self._open(row, min(HOLDS, OF_ITEM * cosine))
         row = np.append(row, np.zeros(2 * WINDOW, row.dtype))  # beyond the last word is nothing
-        for r, c, score in self._candidates(row, np.flatnonzero(known), cosine):
+        for r, c, score in self._candidates(row, at, cosine):
             k = int(self.owner[c])
             best = found.get(k, (0, 0, 0))[1]
             if best == 1:
@@ -195,7 +220,10 @@ class Index:
             item = self.items[k]
             m, start = len(item.words), r * STRIDE
             near = h[max(0, start - m) : start + WINDOW + m].tolist()
-            share = common_subsequence(item.words, near) / m
+            if m < SHORT:
+                share = max(common_subsequence(item.words, near[j : j + m + 2]) for j in range(max(1, len(near) - m - 1))) / m
+            else:
+                share = common_subsequence(item.words, near) / m
             answer = len(item.answer & set(near)) / max(1, len(item.answer))
             if share > best and (share >= covers or share >= answer_covers and answer >= 0.6):
                 found[k] = (score, share, answer)
@@ -212,9 +240,9 @@ class Index:
             parts = sums[k] + sums[k + 1]
             length = np.maximum(np.sqrt(np.einsum("ij,ij->i", parts, parts)), np.float32(1e-9))
             product = parts @ self.vectors
-            r, c = np.nonzero(product >= min(HOLDS, OF_ITEM * cosine) * self.energy)  # so much in either case
+            r, c = np.nonzero(product >= min(HOLDS, OF_ITEM * cosine) * self.held)  # so much in either case
             product, score = product[r, c], product[r, c] / length[r]
-            found = (product >= HOLDS * self.energy[c]) | (score >= cosine) & (length[r] >= OF_ITEM * self.energy[c])
+            found = (product >= HOLDS * self.held[c]) | (score >= cosine) & (length[r] >= OF_ITEM * self.energy[c])
             yield from zip(some[r[found]].tolist(), c[found].tolist(), score[found].tolist(), strict=True)
 
 

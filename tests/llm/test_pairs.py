@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tensorloom.llm import decontaminate, minhash
 from tensorloom.llm.components import components
-from tensorloom.llm.words import weighted_shingles
+from tensorloom.llm.words import weighted_shingles, word_hashes
 
 SCHEMA = "doc_id long, text string, node string, bucket string"
 
@@ -166,6 +166,35 @@ def test_leaks_beside_rare_tokens(spark):
     assert leaks <= {p for p, share in found.items() if share == 1}
 
 
+def test_bounds_lose_nothing(spark, sf, monkeypatch):
+    """All leaks of a whole table, with the bounds on the products and without."""
+    table = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    bench = spark.read.parquet(f"{sf}/benchmark.parquet").unionByName(spark.createDataFrame([(None, "the of and"), (5001, "with the of in")], "item_id long, text string"))
+    df, size = decontaminate.document_frequencies(table)
+    texts = [r.text or "" for r in table.collect()]
+    seen = np.zeros(decontaminate.TERMS, np.int64)
+    for t in texts:
+        seen[np.unique(decontaminate._terms(word_hashes(t)))] += 1
+    assert size == len(texts) and (df == seen).all()
+    idf = np.log((1 + size) / (1 + df)).astype(np.float32) + np.float32(0.1)
+    items = [(k, r.text) for k, r in enumerate(bench.collect())]
+    index = decontaminate.Index(items, idf, *decontaminate.randomised_svd(decontaminate._passages(bench.select("text")), idf))
+    found = [index.search(word_hashes(t), 0.5, 0.75, 0.5) for t in texts]
+    assert sum(map(len, found)) > 0
+    monkeypatch.setattr(decontaminate.Index, "_open", lambda self, row, least: np.arange(max(1, -(-len(row) // decontaminate.STRIDE) - 1)))
+    assert found == [index.search(word_hashes(t), 0.5, 0.75, 0.5) for t in texts]
+
+
+def test_op9_finds_every_verbatim_item(spark, sf):
+    from tensorloom.llm.queries import QUERIES
+
+    rows = {r.doc_id: " ".join((r.text or "").lower().split()) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    items = {r.item_id: " ".join(r.text.lower().split()) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()}
+    verbatim = {(d, i) for d, t in rows.items() for i, x in items.items() if f" {x} " in f" {t} "}
+    found = {(r.doc_id, r.item_id) for r in QUERIES["op9_leaks"](spark, sf).collect()}
+    assert verbatim and verbatim <= found
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline
 
