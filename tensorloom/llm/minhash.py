@@ -26,8 +26,9 @@ Of pairs at 0.8 that join two components, the bands (4 rows, 18 bands) miss a
 share of 8e-5 and the slots one of 3e-5.
 
 A null text is an empty one; texts without words equal only their exact
-copies.  Keys should identify rows; repeated rows share their class.  Where
-all copies of a text lack a key, a hash of the content stands for it.
+copies.  What is compared are contents, whatever their keys: different texts
+with one key, or none, stay apart, and repeated rows share their class.
+Columns beside key and text are not read.
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def compared(pairs: DataFrame, texts: DataFrame, ngram: int) -> DataFrame:
 
         def of(key: int, body: str) -> tuple:
             if key not in known:
-                if len(known) > 2000:
+                if len(known) > 300:
                     known.clear()
                 known[key] = weighted_shingles(body, ngram)
             return known[key]
@@ -161,26 +162,49 @@ def compared(pairs: DataFrame, texts: DataFrame, ngram: int) -> DataFrame:
     return pairs.select("a", "b").join(b, "b").join(a, "a").select("a", "b", "x", "y").mapInArrow(judge, "a long, b long, near double")
 
 
+def content_id(text: Column) -> Column:
+    """What a text is known by: the SHA-256 of it (null: of the empty one)."""
+    return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
+
+
+def _numbered(contents: DataFrame) -> DataFrame:
+    """``contents`` (``content``, ``low``, others) with a number ``node`` that no two share.
+
+    The number is the least key; a hash where there is none, or where other
+    contents have that key too.
+    """
+    nodes = contents.withColumn("node", F.coalesce("low", F.xxhash64("content")))
+    for salt in range(1, 64):
+        shared = nodes.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")
+        if shared.isEmpty():
+            return nodes
+        first = nodes.join(shared, "node").groupBy("node").agg(F.min("content").alias("first"))
+        again = (F.col("content") != F.col("first")) & F.col("first").isNotNull()
+        nodes = nodes.join(first, "node", "left").withColumn("node", F.when(again, F.xxhash64("content", F.lit(salt))).otherwise(F.col("node")))
+        nodes = stored(nodes.drop("first"), "nodes")
+    raise RuntimeError("no distinct numbers")
+
+
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", ngram: int = NGRAM, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row for each row of ``docs``: key, ``node`` and ``class_id``.
+    """One row for each row of ``docs``: key, ``content``, ``node`` and ``class_id``.
 
-    ``node`` is the least key of the row's exact copies, ``class_id`` that of
-    its class.  A row is its class's representative if its key, or where that
-    is null its ``node``, is the ``class_id``.
+    ``content`` is the :func:`content_id` of the text and ``node`` the number
+    of that content: the least key of its rows, or a hash where that is
+    missing or other contents have it too.  ``class_id`` is the least node of
+    the class.
     """
     small_batches(docs.sparkSession)
     body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    blob = F.unhex(F.sha2(body, 256))
-    source = docs.select(F.col(f"`{key}`").cast("long").alias("key"), blob.alias("blob"), body.alias("body"))
+    source = docs.select(F.col(f"`{key}`").cast("long").alias("key"), content_id(body).alias("content"), body.alias("body"))
     signed = source.withColumn("bands", bands_column(F.col("body"), ngram, bands, rows))
-    nodes = stored(signed.groupBy("blob").agg(F.coalesce(F.min("key"), F.xxhash64("blob")).alias("node"), F.first("bands").alias("bands")), "nodes")
+    nodes = _numbered(stored(signed.groupBy("content").agg(F.min("key").alias("low"), F.first("bands").alias("bands")), "contents"))
     labels = _labels(nodes, source, ngram, threshold)
-    classes = nodes.select("blob", "node")
+    classes = nodes.select("content", "node")
     if labels is None:
         classes = classes.withColumn("class_id", F.col("node"))
     else:
-        classes = stored(classes.join(labels, classes["node"] == labels["id"], "left").select("blob", "node", F.coalesce("label", "node").alias("class_id")), "classes")
-    return source.select("key", "blob").join(classes, "blob").select(F.col("key").alias(key), "node", "class_id")
+        classes = stored(classes.join(labels, classes["node"] == labels["id"], "left").select("content", "node", F.coalesce("label", "node").alias("class_id")), "classes")
+    return source.select("key", "content").join(classes, "content").select(F.col("key").alias(key), "content", "node", "class_id")
 
 
 def _labels(nodes: DataFrame, source: DataFrame, ngram: int, threshold: float) -> DataFrame | None:
@@ -196,8 +220,10 @@ def _labels(nodes: DataFrame, source: DataFrame, ngram: int, threshold: float) -
     at = members.join(central, "node").select("bucket", "node", "shared")
     pivots = stored(at.groupBy("bucket").agg(F.max_by("node", F.struct("shared", -F.col("node"))).alias("pivot")), "pivots")
     members = stored(members.join(pivots, "bucket").select("bucket", "n", "pivot", "node"), "members")
-    own = source.select(F.coalesce("key", F.xxhash64("blob")).alias("id"), "body")
-    texts = stored(own.join(central.select(F.col("node").alias("id")).hint("shuffle_hash"), "id", "left_semi").dropDuplicates(["id"]), "texts")
+    # the text of one row of each content, found by its key too: a hot content is many keys
+    wanted = central.join(nodes.select("node", "content", "low"), "node").select(F.col("node").alias("id"), F.col("content").alias("own"), "low").hint("shuffle_hash")
+    texts = source.join(wanted, (F.col("content") == F.col("own")) & F.col("key").eqNullSafe(F.col("low"))).select("id", "body")
+    texts = stored(texts.dropDuplicates(["id"]), "texts")
     pairs = stored(members.where("node <> pivot").select(F.least("pivot", "node").alias("a"), F.greatest("pivot", "node").alias("b")).distinct(), "pairs")
     tested = stored(compared(pairs, texts, ngram), "tested")
     links = tested.where(F.col("near") >= least)

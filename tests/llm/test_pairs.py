@@ -90,6 +90,17 @@ def test_odd_tables(spark):
     assert len(got) == 5 and [r.class_id for r in got].count(1) == 4
 
 
+def test_one_key_of_many_texts(spark):
+    """Contents are told apart whatever their keys; near ones are still found."""
+    rng = random.Random(15)
+    base = [words(rng, 80) for _ in range(12)]
+    near = [[*w[:-1], "changed"] for w in base]
+    rows = [(7, " ".join(w)) for w in base] + [(None, " ".join(w)) for w in near] + [(7, " ".join(base[0])), (3, " ".join(base[1]))]
+    got = minhash.near_duplicates(docs(spark, rows)).collect()
+    assert len(got) == len(rows) and len({r.class_id for r in got}) == 12 and len({r.node for r in got}) == 24
+    assert {r.node: bytes(r.content) for r in got} == {r.node: bytes(r.content) for r in reversed(got)}
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(500 + i, 501 + i) for i in range(40)]
