@@ -9,13 +9,13 @@ reads it as the next one's input.
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tensorloom.llm.bpe import bpe_round_trip
 from tensorloom.llm.decontaminate import find_leaks
 from tensorloom.llm.langid import fit, held_out, identify
-from tensorloom.llm.minhash import near_duplicates
+from tensorloom.llm.minhash import content_id, near_duplicates
 from tensorloom.llm.pii import KINDS, find_pii
 from tensorloom.llm.spans import replaced
 from tensorloom.llm.tables import stored, table
@@ -28,35 +28,26 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return judged.withColumn("lang", F.coalesce("lang", F.col("__language.lang"))).select(docs.columns)
 
 
-def content(text: str = "text") -> Column:
-    """What tells texts apart, whatever their ids: 64 bits of their digest."""
-    return F.xxhash64(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)))
-
-
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near-duplicates the document with the least id stays; one without an id only if none has one.
 
     A row is known by its id and its content, as ids may be missing or repeated.
     """
-    keyed = docs.select(content().alias("__own"), F.col("doc_id").alias("__id"), "text")
-    classes = near_duplicates(keyed, key="__own").select("__own", "class_id").distinct()
-    each = keyed.groupBy("__own", "__id").agg(F.count("*").alias("__n"))
-    each = each.groupBy("__own").agg(F.min(F.struct(F.isnull("__id").alias("none"), "__id", "__own", "__n")).alias("first"))
-    first = each.join(classes, "__own").groupBy("class_id").agg(F.min("first").alias("first"))
-    first = stored(first.select("first.__own", "first.__id", "first.__n"), "kept")
-    own = docs.withColumn("__content", content())
-    kept = own.join(first.hint("shuffle_hash"), (F.col("__content") == F.col("__own")) & F.col("doc_id").eqNullSafe(F.col("__id")))
-    repeated = kept.where("__n > 1")
+    found = near_duplicates(docs.select("doc_id", "text")).groupBy("class_id", "doc_id", "content").agg(F.count("*").alias("n"))
+    first = found.groupBy("class_id").agg(F.min(F.struct(F.isnull("doc_id").alias("none"), F.col("doc_id").alias("__id"), F.col("content").alias("__content"), F.col("n").alias("__n"))).alias("first"))
+    first = stored(first.select("first.__id", "first.__content", "first.__n"), "kept")
+    kept = docs.join(first.hint("shuffle_hash"), (content_id(F.col("text")) == F.col("__content")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     if first.where("__n > 1").isEmpty():
         return kept.select(docs.columns)
-    return kept.where("__n = 1").unionByName(repeated.dropDuplicates(["__own"])).select(docs.columns)
+    return kept.where("__n = 1").unionByName(kept.where("__n > 1").dropDuplicates(["__content"])).select(docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; which do is a matter of their text, not of their id."""
-    keyed = docs.select(content().alias("__own"), "text")
-    leaks = stored(find_leaks(keyed, table(spark, sf_dir, "benchmark"), key="__own").select("__own").distinct(), "leaks")
-    return docs.join(leaks.hint("shuffle_hash"), content() == F.col("__own"), "left_anti").select(docs.columns)
+    content = F.xxhash64(content_id(F.col("text")))
+    leaks = find_leaks(docs.select(content.alias("__own"), "text"), table(spark, sf_dir, "benchmark"), key="__own")
+    leaks = stored(leaks.select("__own").distinct(), "leaks")
+    return docs.join(leaks.hint("shuffle_hash"), content == F.col("__own"), "left_anti").select(docs.columns)
 
 
 def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
