@@ -1,9 +1,9 @@
 """Byte-level BPE as a lazily determinised finite-state transducer.
 
 The merge table is compiled into a transducer over bytes.  A state keeps what
-the future can still depend on: the last token that was emitted, the bytes
-after it, and for each *live* position (one from which some vocabulary entry
-could still reach past the bytes read) the tokens that lead there.  Two facts
+the future can still depend on: the last token that was emitted and for each
+*live* position (one from which some vocabulary entry could still reach past
+the bytes read) how far into the entries it is, and the tokens that lead there.  Two facts
 make this exact: every prefix of a BPE encoding is the encoding of its own
 bytes, and an encoding is valid iff each neighbouring pair of tokens is.  So
 the token that ends at a position is the one that starts at a live position
@@ -46,14 +46,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class _State:
-    """Live positions, and ``last`` where one is directly after it: all that the future depends on."""
+    """All that the future depends on.
 
-    __slots__ = ("arcs", "final", "last", "pending", "chains")
+    ``ways`` has the last token (-2 where nothing is asked of it) and then, for
+    each live position, the entries' trie node after the bytes since it, and
+    the tokens not yet emitted that lead to it.  Most states have one arc, kept
+    in ``byte``, ``out`` and ``next``; further ones are in ``arcs``.
+    """
+
+    __slots__ = ("arcs", "byte", "final", "next", "out", "ways")
 
-    def __init__(self, last: int, pending: bytes, chains: list):
+    def __init__(self, ways: tuple):
+        self.byte, self.out, self.next = -1, b"", None
         self.arcs: dict[int, tuple[bytes, _State]] | None = None
         self.final: bytes | None = None
-        self.last, self.pending, self.chains = last, pending, chains
+        self.ways = ways
 
 
 def _pack(tokens) -> bytes:
@@ -85,7 +92,7 @@ class _Pieces(dict):
 class ByteBpe:
     """Encoder for one table of ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = 150_000, max_pieces: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = 100_000, max_pieces: int = 250_000):
         self.ranks = ranks
         self.table = {i: t for t, i in ranks.items()}
         # a trie of the entries: child by node and byte, entry (or -1) and whether it goes on by node
@@ -107,7 +114,7 @@ class ByteBpe:
         self.halves: dict[int, tuple[int, int] | None] = {}
         self.pieces = _Pieces(self.encode_piece, max_pieces)
         self.states: dict[tuple, _State] = {}
-        self.root = self._state(-1, b"", [(0, 0, ())])
+        self.root = self._state((-1, 0, ()))
 
     @classmethod
     def load(cls, path: str, pattern: str) -> "ByteBpe":
@@ -115,22 +122,19 @@ class ByteBpe:
             _ENCODERS[path, pattern] = cls(read_ranks(path), pattern)
         return _ENCODERS[path, pattern]
 
-    def _state(self, last: int, pending: bytes, chains: list) -> _State:
-        if chains[0][2]:
-            last = -2  # every way has a token after it, so nothing will be asked of it
-        key = (last, tuple(chains))
-        if (known := self.states.get(key)) is None:
-            known = _State(last, pending, chains)
-            self.states[key] = known
+    def _state(self, ways: tuple) -> _State:
+        if (known := self.states.get(ways)) is None:
+            known = self.states[ways] = _State(ways)
         return known
 
     def _forget(self, s: _State) -> _State:
         """Drop all states but ``s``, from which the run goes on, and begin anew."""
         for old in self.states.values():
-            old.arcs = None  # states form rings, which would outlive their last use
+            old.arcs = old.next = None  # states form rings, which would outlive their last use
+            old.byte = -1
         self.states.clear()
-        self.root = self._state(-1, b"", [(0, 0, ())])
-        return self._state(s.last, s.pending, s.chains)
+        self.root = self._state((-1, 0, ()))
+        return self._state(s.ways)
 
     def merge(self, data: bytes, until: int = 1) -> list[bytes]:
         """Merge by rank until nothing merges, or ``until`` parts are left: the definition of BPE.
@@ -188,35 +192,38 @@ class ByteBpe:
                 limit, right = right + 1, b[0]
 
     def _arc(self, s: _State, byte: int) -> tuple[bytes, _State]:
-        pending = s.pending + bytes((byte,))
-        child, entry, inner, valid, live, here = self.child, self.entry, self.inner, self.valid, [], None
-        for at, node, chain in s.chains:
-            node = child.get(node << 8 | byte)
+        child, entry, inner, valid, here = self.child, self.entry, self.inner, self.valid, None
+        ways, last, live = s.ways, s.ways[0], []
+        for k in range(1, len(ways), 2):
+            node, chain = child.get(ways[k] << 8 | byte), ways[k + 1]
             if node is None:
                 continue
             if here is None and (token := entry[node]) >= 0:
-                before = chain[-1] if chain else s.last
+                before = chain[-1] if chain else last
                 follows = valid.get(before << 32 | token)
                 if self._follows(before, token) if follows is None else follows:
                     here = (*chain, token)
             if inner[node]:
-                live.append((at, node, chain))
-        live.append((len(pending), 0, here))
+                live += (node, chain)
+        live += (0, here)
         # what all live positions agree on can be emitted
         same = 0
-        if live[0][2]:
-            most = min([len(way[2]) for way in live])
-            while same < most and all([way[2][same] == here[same] for way in live]):
+        if live[1]:
+            chains = live[1::2]
+            most = min(map(len, chains))
+            while same < most and all([c[same] == here[same] for c in chains]):
                 same += 1
-        if same:
-            done = here[:same]
-            cut = sum([len(self.table[t]) for t in done])
-            arc = _pack(done), self._state(done[-1], pending[cut:], [(at - cut, node, c[same:]) for at, node, c in live])
+            if same:
+                last = here[same - 1]
+                live[1::2] = [c[same:] for c in chains]
+        # where every way has a token after it, nothing will be asked of the last one
+        arc = _pack(here[:same]), self._state((-2 if live[1] else last, *live))
+        if s.byte < 0:
+            s.byte, (s.out, s.next) = byte, arc
         else:
-            arc = b"", self._state(s.last, pending, live)
-        if s.arcs is None:
-            s.arcs = {}
-        s.arcs[byte] = arc
+            if s.arcs is None:
+                s.arcs = {}
+            s.arcs[byte] = arc
         return arc
 
     def encode_piece(self, data: bytes) -> bytes:
@@ -225,16 +232,19 @@ class ByteBpe:
             return whole.to_bytes(4, "little")
         out, s = [], self.root
         for byte in data:
-            arc = s.arcs.get(byte) if s.arcs else None
-            if arc is None:
-                if len(self.states) >= self.max_states:
-                    s = self._forget(s)
-                arc = self._arc(s, byte)
-            if arc[0]:
-                out.append(arc[0])
-            s = arc[1]
+            if s.byte == byte:
+                emitted, s = s.out, s.next
+            else:
+                arc = s.arcs.get(byte) if s.arcs else None
+                if arc is None:
+                    if len(self.states) >= self.max_states:
+                        s = self._forget(s)
+                    arc = self._arc(s, byte)
+                emitted, s = arc
+            if emitted:
+                out.append(emitted)
         if s.final is None:
-            s.final = _pack(s.chains[-1][2])
+            s.final = _pack(s.ways[-1])
         out.append(s.final)
         return b"".join(out)
 
