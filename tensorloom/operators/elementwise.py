@@ -175,7 +175,7 @@ def map_expression(statement: str, frames: dict[str, TensorFrame], scalars: dict
                 k = F.col(axis.label) - shift if sign > 0 else shift - F.col(axis.label)
                 select.append((k if axis.is_frame else F.pmod(k, F.lit(axis.size))).cast("bigint").alias(label))
                 sizes.setdefault(label, replace(axis, label=label))
-            sides[key] = tf.df.select(*select, *[F.col(c).alias(f"{tag}_{c}") for c in tf.values])
+            sides[key] = tf.df.select(*tf.keys, *select, *[F.col(c).alias(f"{tag}_{c}") for c in tf.values])
         return Pair(*[F.col(f"{tag}_{c}") for c in tf.values])
 
     def value(node: ast.expr) -> Pair:
@@ -219,14 +219,51 @@ def map_expression(statement: str, frames: dict[str, TensorFrame], scalars: dict
 
     result = value(tree)
     labels = explicit or widest.spec.labels
+    keys = tuple(dict.fromkeys(k for name, *_ in sides for k in frames[name].keys))
     rows = None
     for side in sorted(sides.values(), key=lambda d: -len(d.columns)):
-        shared = [c for c in labels if rows is not None and c in rows.columns and c in side.columns]
+        shared = [c for c in [*keys, *labels] if rows is not None and c in rows.columns and c in side.columns]
         rows = side if rows is None else rows.join(side, shared) if shared else rows.crossJoin(side)
     dtype = "f64" if result.im is None else "cf64"
     values = {"value": result.re} if result.im is None else {"re": result.re, "im": result.im}
     spec = replace(widest.spec.with_dtype(dtype), axes=tuple(sizes[n] for n in labels))
-    return TensorFrame(rows.select(*labels, *[x.cast("double").alias(c) for c, x in values.items()]), spec)
+    return TensorFrame(rows.select(*keys, *labels, *[x.cast("double").alias(c) for c, x in values.items()]), spec, keys)
+
+
+def map_statements(text: str, frames: dict[str, TensorFrame], scalars: dict[str, float | complex] | None = None) -> dict[str, TensorFrame]:
+    """Statements separated by ``;`` or lines; each may use what those before it made."""
+    known = dict(frames)
+    for statement in re.split(r"[;\n]", text):
+        if statement.strip():
+            name = _STATEMENT.match(statement)
+            if not name:
+                raise ValueError(f"not a statement: {statement!r}")
+            known[name[1]] = map_expression(statement, known, scalars)
+    return {k: v for k, v in known.items() if k not in frames or v is not frames[k]}
+
+
+def assign_part(statement: str, target: TensorFrame, frames: dict[str, TensorFrame], scalars: dict[str, float | complex] | None = None) -> TensorFrame:
+    """``target`` after a statement such as ``a(i, k + 4) = b(i, k)``: places that it does not name keep their elements.
+
+    On the left a place is an axis name of the target, with a constant added.
+    """
+    m = _STATEMENT.match(statement)
+    if not m or not m[2]:
+        raise ValueError(f"not a statement with places: {statement!r}")
+    spots = [_spot(ast.parse(x.strip(), mode="eval").body) for x in m[2].split(",")]
+    if any(sign < 0 for _, sign, _ in spots) or [n for n, *_ in spots] != target.spec.labels:
+        raise ValueError(f"places on the left are {target.spec.labels}, moved by constants")
+    made = map_expression(f"{m[1]}({', '.join(n for n, *_ in spots)}) = {m[3]}", frames, scalars)
+    if made.spec.dtype.is_complex != target.spec.dtype.is_complex:
+        raise ValueError("real and complex elements")
+    new = made.df.withColumns({n: F.col(n) + shift for n, _, shift in spots})
+    for axis in target.spec.axes:  # nothing is written beyond the target
+        if not axis.is_frame:
+            new = new.where(F.col(axis.label).between(0, axis.size - 1))
+    moved = new.withColumnsRenamed({c: f"__{c}" for c in target.values})
+    both = target.df.join(moved, target.index, "left").withColumn("__new", F.col(f"__{target.values[0]}").isNotNull())
+    df = both.select(*target.index, *[F.when(F.col("__new"), F.col(f"__{c}")).otherwise(F.col(c).cast("double")).alias(c) for c in target.values])
+    return TensorFrame(df, target.spec.with_dtype("cf64" if target.spec.dtype.is_complex else "f64"), target.keys)
 
 
 def _spot(node: ast.expr) -> tuple[str, int, int]:

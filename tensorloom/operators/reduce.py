@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from ..frame import TensorFrame
+from .blocks import BLOCK, apply, column, frames_of_block, samples, schema_of, table
 
 OPS = ("sum", "mean", "min", "max", "stderr")
 
@@ -85,25 +88,42 @@ def correlate(tf: TensorFrame, nframe: int, full: bool = False) -> TensorFrame:
 
     Axes are time (the stream), freq, station and pol; the result has station_i,
     pol_i, station_j and pol_j, of which the lower triangle ``(i, p) >= (j, q)``
-    is given, or all with ``full``.  The two sides meet on time and channel.
+    is given, or all with ``full``.  An integration of a channel is multiplied
+    as arrays, a block of frames at a time, and the blocks are summed;
+    incomplete ones are dropped.
     """
     t, f, s, p = tf.spec.labels
     if not tf.spec.axes[0].is_frame:
         raise ValueError("the first axis must be the stream")
-    npol = tf.spec.axis(p).size
-    a = tf.df.select(*tf.keys, t, f, F.col(s).alias(f"{s}_i"), F.col(p).alias(f"{p}_i"), F.col("re").cast("double").alias("ar"), F.col("im").cast("double").alias("ai"))
-    b = tf.df.select(*tf.keys, t, f, F.col(s).alias(f"{s}_j"), F.col(p).alias(f"{p}_j"), F.col("re").cast("double").alias("br"), F.col("im").cast("double").alias("bi"))
-    both = a.join(b, [*tf.keys, t, f])
-    if not full:
-        both = both.where(F.col(f"{s}_i") * npol + F.col(f"{p}_i") >= F.col(f"{s}_j") * npol + F.col(f"{p}_j"))
-    sides = [f"{s}_i", f"{p}_i", f"{s}_j", f"{p}_j"]
-    df = both.groupBy(*tf.keys, F.expr(f"`{t}` div {nframe}").alias(t), f, *sides).agg(
-        F.sum(F.expr("ar * br + ai * bi")).alias("re"), F.sum(F.expr("ar * bi - ai * br")).alias("im"), F.count("*").alias("__n")
-    )
     time, freq, station, pol = tf.spec.axes
+    n = station.size * pol.size
+    size = min(nframe, frames_of_block([station, pol]))
+    sides = [f"{s}_i", f"{p}_i", f"{s}_j", f"{p}_j"]
+    index = [*tf.keys, t, f, *sides]
+    plain, keys = schema_of(tf, index, True), tf.keys
+
+    def run(group: pa.Table) -> pa.Table:
+        k, c = column(group, t), column(group, s) * pol.size + column(group, p)
+        own = k // nframe
+        k = k - k.min()
+        x = np.zeros((int(k.max()) + 1, n), np.complex128)
+        have = np.zeros(x.shape)
+        x[k, c], have[k, c] = samples(group), 1
+        sums, counts = x.conj().T @ x, have.T @ have
+        a, b = np.nonzero(counts)
+        if not full:
+            a, b = a[a >= b], b[a >= b]
+        where = {s_: v for s_, v in zip(sides, (a // pol.size, a % pol.size, b // pol.size, b % pol.size), strict=True)}
+        out = table({**{x: group.column(x)[0].as_py() for x in keys}, t: int(own[0]), f: group.column(f)[0].as_py()}, where, sums[a, b], plain)
+        return out.append_column("n", pa.array(counts[a, b].astype(np.int64)))
+
+    rows = tf.df.withColumns({BLOCK: F.expr(f"`{t}` div {nframe}"), "__part": F.expr(f"`{t}` % {nframe} div {size}")})
+    df = apply(rows, [*tf.keys, f, BLOCK, "__part"], run, plain + ", n bigint")
+    if size < nframe:
+        df = df.groupBy(*index).agg(F.sum("re").alias("re"), F.sum("im").alias("im"), F.sum("n").alias("n"))
     axes = (replace(time, step=time.step * nframe), freq, *[replace(x, label=name) for name, x in zip(sides, (station, pol, station, pol), strict=True)])
     spec = replace(tf.spec.with_dtype("cf32"), axes=axes)
-    return TensorFrame(df.where(F.col("__n") == nframe), spec, tf.keys)
+    return TensorFrame(df.where(F.col("n") == nframe), spec, tf.keys)
 
 
 def fold(tf: TensorFrame, bins: int, period: float, dm: float = 0.0, freq: str | None = None) -> TensorFrame:

@@ -8,6 +8,7 @@ are not are rounded.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
@@ -15,7 +16,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frame import TensorFrame
+from .functions import jones
+from .functions.jones import Jones
 from .operators import codec, dispersion, elementwise, fir, fourier, linalg, reduce, shape, views
+from .sources import files, packets
+from .sources.headers import make_dada
 from .spec import Axis, TensorSpec
 from .streaming import gulps
 
@@ -160,9 +165,9 @@ def _(s, d):
     return views.delete_axis(views.add_axis(tensor_e(s, d), -1, "beam"), "beam").df
 
 
-@query("view_astype", "SELECT event_id AS frame, b AS k, CAST((event_id * 2654435 // CAST(power(256, b) AS BIGINT)) % 256 AS BIGINT) AS value FROM (SELECT event_id, unnest(range(0, 4)) AS b FROM (SELECT event_id FROM events)) WHERE event_id < 500")
+@query("view_astype", "SELECT event_id AS frame, b AS k, CAST((event_id * 2654435 % 2147483648 // CAST(power(256, b) AS BIGINT)) % 256 AS BIGINT) AS value FROM (SELECT event_id, unnest(range(0, 4)) AS b FROM (SELECT event_id FROM events))")
 def _(s, d):
-    df = read(s, d, "events").where("event_id < 500").select(F.col("event_id").alias("frame"), F.lit(0).cast("bigint").alias("k"), (F.col("event_id") * 2654435).alias("value"))
+    df = read(s, d, "events").select(F.col("event_id").alias("frame"), F.lit(0).cast("bigint").alias("k"), (F.col("event_id") * 2654435 % 2147483648).alias("value"))
     return views.astype(TensorFrame(df, TensorSpec.of("i32", Axis("frame", -1), Axis("k", 1))), "u8").df
 
 
@@ -289,11 +294,9 @@ def _one_axis(tf: TensorFrame) -> TensorFrame:
     return TensorFrame(tf.df, replace(tf.spec, axes=tuple(replace(a, size=1) if a.is_frame else a for a in tf.spec.axes)))
 
 
-@query("map_outer", f"WITH {E_SQL} SELECT a.k AS i, b.k AS j, CAST(a.q * b.q AS DOUBLE) AS value FROM (SELECT * FROM E WHERE time = 3) a, (SELECT * FROM E WHERE time = 7) b")
+@query("map_outer", f"WITH {X_SQL} SELECT a.frame, a.lane AS i, b.lane AS j, CAST(a.q * b.q AS DOUBLE) AS value FROM X a JOIN X b USING (frame)")
 def _(s, d):
-    e = tensor_e(s, d)
-    vector = lambda t: TensorFrame(e.df.where(F.col("time") == t), replace(e.spec, axes=e.spec.axes[1:]))
-    return elementwise.map_expression("c(i, j) = a(i) * b(j)", {"a": vector(3), "b": vector(7)}).df
+    return elementwise.map_expression("c(frame, i, j) = a(frame, i) * a(frame, j)", {"a": tensor_x(s, d)}).df
 
 
 @query("map_shift", f"WITH {E_SQL} SELECT time, k, CAST(q - coalesce(lag(q) OVER w, last_value(q) OVER u) AS DOUBLE) AS value FROM E WINDOW w AS (PARTITION BY time ORDER BY k), u AS (PARTITION BY time ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")
@@ -321,10 +324,9 @@ def _users(s: SparkSession, d: str) -> TensorFrame:
     return TensorFrame(df, TensorSpec.of("i64", Axis("frame", -1), Axis("lane", 8)))
 
 
-@query("zip_streams", f"WITH {X_SQL}, Y AS (SELECT event_id // 8 AS frame, event_id % 8 AS lane, user_id AS u FROM events WHERE event_id < 400) SELECT frame, lane, q AS value_0, u AS value_1 FROM X JOIN Y USING (frame, lane)")
+@query("zip_streams", f"WITH {X_SQL}, Y AS (SELECT event_id // 8 AS frame, event_id % 8 AS lane, user_id AS u FROM events) SELECT frame, lane, q AS value_0, u AS value_1 FROM X JOIN Y USING (frame, lane)")
 def _(s, d):
-    short = _users(s, d)
-    return elementwise.zip_streams(tensor_x(s, d), TensorFrame(short.df.where("frame < 50"), short.spec))
+    return elementwise.zip_streams(tensor_x(s, d), _users(s, d))
 
 
 # ---- correlation, products, gridding
@@ -357,11 +359,20 @@ def _stokes_sql() -> str:
 query("visibilities_storage", _stokes_sql())(lambda s, d: _positive_zero(elementwise.to_storage(elementwise.matrix_fill(_correlated(s, d))).df))
 
 
-@query("matmul_ab", f"WITH {E_SQL} SELECT a.time AS i, b.time AS j, CAST(sum(a.q * b.q) * 2 AS DOUBLE) AS value FROM E a JOIN E b USING (k) WHERE a.time < 32 AND b.time BETWEEN 32 AND 63 GROUP BY ALL")
+@query("matmul_ab", f"WITH {E_SQL}, B AS (SELECT k, j, (k * (j + 1)) % 7 - 3 AS b FROM range(0, 64) x(k), range(0, 5) y(j)) SELECT time, j, CAST(2 * sum(q * b) AS DOUBLE) AS value FROM E JOIN B USING (k) GROUP BY ALL")
 def _(s, d):
-    e = tensor_e(s, d)
-    part = lambda low, name: TensorFrame(e.df.where(F.col("time").between(low, low + 31)).withColumnRenamed("time", name), e.spec.with_axis("time", Axis(name, 32)))
-    return linalg.matmul(part(0, "i"), part(32, "j"), "k", alpha=2.0).df
+    return linalg.matmul(tensor_e(s, d), _matrix(s), "k", alpha=2.0).df
+
+
+@query("matmul_accumulate", f"WITH {E_SQL}, B AS (SELECT k, j, (k * (j + 1)) % 7 - 3 AS b FROM range(0, 64) x(k), range(0, 5) y(j)), C AS (SELECT time, k AS j, q AS c FROM E WHERE k < 5) SELECT time, j, CAST(2 * sum(q * b) + 3 * any_value(c) AS DOUBLE) AS value FROM E JOIN B USING (k) JOIN C USING (time, j) GROUP BY ALL")
+def _(s, d):
+    old = views.rename_axis(shape.slice_axis(tensor_e(s, d), "k", 0, 5), "k", "j")
+    return linalg.matmul(tensor_e(s, d), _matrix(s), "k", alpha=2.0, beta=3.0, c=old).df
+
+
+@query("matmul_bhb", f"WITH {V_SQL} SELECT a.freq, a.pol, a.station AS station_i, b.station AS station_j, CAST(sum(a.re * b.re + a.im * b.im) AS DOUBLE) AS re, CAST(sum(a.re * b.im - a.im * b.re) AS DOUBLE) + 0.0 AS im FROM V a JOIN V b USING (time, freq, pol) WHERE a.station >= b.station GROUP BY ALL")
+def _(s, d):
+    return _positive_zero(linalg.matmul_bhb(tensor_v(s, d), "station", "time").df)
 
 
 @query("matmul_aah", f"WITH {V_SQL} SELECT a.freq, a.pol, a.station AS station_i, b.station AS station_j, CAST(sum(a.re * b.re + a.im * b.im) AS DOUBLE) AS re, CAST(sum(a.im * b.re - a.re * b.im) AS DOUBLE) + 0.0 AS im FROM V a JOIN V b USING (time, freq, pol) WHERE a.station >= b.station GROUP BY ALL")
@@ -432,29 +443,83 @@ query("fir", _fir_sql(1))(lambda s, d: fir.fir(tensor_x(s, d), _TAPS).df)
 query("fir_decimated", _fir_sql(2))(lambda s, d: fir.fir(tensor_x(s, d), _TAPS, 2).df)
 
 
-def _band(s: SparkSession, d: str) -> TensorFrame:
-    """Eight channels of the embeddings as [freq, time]."""
-    return views.rename_axis(shape.slice_axis(tensor_e(s, d), "k", 0, 8), "k", "freq").then(views.reinterpret_axis, "freq", "freq", 1000.0, 50.0, "MHz")
+def _band(s: SparkSession, d: str, step: float = 50.0) -> TensorFrame:
+    """The embeddings as [freq, time]; with a negative step the band descends."""
+    start = 1000.0 if step > 0 else 1000.0 - 63 * step
+    return views.rename_axis(tensor_e(s, d), "k", "freq").then(views.reinterpret_axis, "freq", "freq", start, step, "MHz")
 
 
-def _fdmt_sql(max_delay: int = 6) -> str:
-    first, steps = dispersion.plan(8, max_delay, 1000.0, 50.0)
-    widths = ", ".join(f"({c}, {d})" for c, b in enumerate(first) for d in range(b.rows))
-    ctes = [E_SQL, f"W(c, d) AS (VALUES {widths})", "S0 AS (SELECT a.k AS band, w.d, a.time, avg(b.q) AS v FROM E a JOIN W w ON a.k = w.c JOIN E b ON b.k = a.k AND b.time BETWEEN a.time - w.d AND a.time GROUP BY ALL HAVING count(*) = w.d + 1)"]
-    for n, merges in enumerate(steps):
-        rows = ", ".join(f"({m.band}, {m.delay}, {m.lower[0]}, {m.lower[1]}, {m.upper[0] if m.upper else -1}, {m.upper[1] if m.upper else -1})" for m in merges)
-        ctes.append(f"P{n}(band, d, lb, ld, ub, ud) AS (VALUES {rows})")
-        ctes.append(f"S{n + 1} AS (SELECT p.band, p.d, l.time, l.v + u.v AS v FROM P{n} p JOIN S{n} l ON l.band = p.lb AND l.d = p.ld JOIN S{n} u ON u.band = p.ub AND u.d = p.ud AND u.time = l.time - p.ld)")
-    return f"WITH {', '.join(ctes)} SELECT d::BIGINT AS dispersion, time, round(v, 7) + 0.0 AS value FROM S{len(steps)}"
+def _fdmt_sql(max_delay: int = 6, channel: str = "k", time: str = "time") -> str:
+    """The tree of 64 channels from 1000 MHz on, 50 MHz apart, from its formula."""
+    lag = lambda c: f"power(1000 + 50 * ({c}), -2)"
+    rows = lambda lo, hi: f"CAST(ceil(({lag(lo)} - {lag(hi)}) / ({lag('0')} - {lag('63')}) * {max_delay - 1}) AS BIGINT) + 1"
+    ctes = [
+        E_SQL,
+        f"A AS (SELECT {channel} AS c, {time} AS t, CAST(q AS DOUBLE) AS q FROM E)",
+        f"W AS (SELECT c, unnest(range(0, {rows('c - 0.5', 'c + 0.5')})) AS d FROM range(0, 64) r(c))",
+        "S0 AS (SELECT k, d, t, avg(v) AS v FROM (SELECT A.c AS k, W.d, unnest(range(A.t, A.t + W.d + 1)) AS t, q AS v FROM A JOIN W ON A.c = W.c) GROUP BY ALL HAVING count(*) = d + 1)",
+    ]
+    for n in range(1, 7):
+        m = 2**n
+        part = lambda to: f"CAST(floor(d * (({lag('k * ' + str(m))} - {lag(to)}) / ({lag('k * ' + str(m))} - {lag(f'k * {m} + {m - 1}')})) + 0.5) AS BIGINT)"  # noqa: B023, E731
+        own, upper = rows(f"k * {m}", f"k * {m} + {m - 1}"), rows("k * {0} + {1}".format(m, m // 2), f"k * {m} + {m - 1}") if n > 1 else rows("2 * k + 0.5", "2 * k + 1.5")
+        ctes.append(f"P{n} AS (SELECT k, d, {part(f'k * {m} + {m // 2 - 1}')} AS lo, {part(f'k * {m} + {m // 2}')} AS late, {upper} AS most FROM (SELECT k, unnest(range(0, {own})) AS d FROM range(0, {64 // m}) r(k)))")
+        ctes.append(f"S{n} AS (SELECT p.k, p.d, l.t, l.v + u.v AS v FROM P{n} p JOIN S{n - 1} l ON l.k = 2 * p.k AND l.d = p.lo JOIN S{n - 1} u ON u.k = 2 * p.k + 1 AND u.d = least(p.d - p.late, p.most - 1) AND u.t = l.t - p.late)")
+    return f"WITH {', '.join(ctes)} SELECT d::BIGINT AS dispersion, t AS time, round(v, 7) + 0.0 AS value FROM S6"
 
 
 query("fdmt", _fdmt_sql())(lambda s, d: rounded(dispersion.fdmt(_band(s, d), "freq", 6)))
-_DELAYS = dispersion.channel_delays(Axis("freq", 8, 1000.0, 50.0, "MHz"), 2.0, 0.001)
-query("dedisperse", f"WITH {E_SQL} SELECT time - (CASE k {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(_DELAYS))} END) AS time, CAST(sum(q) AS DOUBLE) AS value FROM E WHERE k < 8 GROUP BY ALL HAVING count(*) = 8")(
+query("fdmt_descending", _fdmt_sql(9, "63 - k"))(lambda s, d: rounded(dispersion.fdmt(_band(s, d, -50.0), "freq", 9)))
+query("fdmt_negative_delays", _fdmt_sql(6, "k", "-time").replace("t AS time", "-t AS time"))(lambda s, d: rounded(dispersion.fdmt(_band(s, d), "freq", 6, negative_delays=True)))
+
+
+@query("fdmt_block", _fdmt_sql(8))
+def _(s, d):
+    band = shape.transpose(_band(s, d), ["freq", "time"])
+    return rounded(dispersion.fdmt_block(band, max_diagonal=8 / 64))
+
+
+_DELAYS = dispersion.channel_delays(Axis("freq", 64, 1000.0, 50.0, "MHz"), 2.0, 0.001)
+query("dedisperse", f"WITH {E_SQL} SELECT time - (CASE k {' '.join(f'WHEN {k} THEN {x}' for k, x in enumerate(_DELAYS))} END) AS time, CAST(sum(q) AS DOUBLE) AS value FROM E GROUP BY ALL HAVING count(*) = 64")(
     lambda s, d: as_double(dispersion.dedisperse(_band(s, d), "freq", 2.0))
 )
 
 
+# ---- sequences side by side: two of different length, told apart by a key
+
+S_SQL = E_SQL + ", Q AS (SELECT CASE WHEN time % 3 = 1 THEN 1 ELSE 0 END::BIGINT AS seq, CASE time % 3 WHEN 1 THEN time // 3 WHEN 0 THEN 2 * (time // 3) ELSE 2 * (time // 3) + 1 END AS frame, k, q FROM E)"
+
+
+def tensor_s(s: SparkSession, d: str) -> TensorFrame:
+    third, n = F.col("time") % 3, F.expr("time div 3")
+    frame = F.when(third == 1, n).when(third == 0, 2 * n).otherwise(2 * n + 1)
+    df = tensor_e(s, d).df.select(F.when(third == 1, 1).otherwise(0).cast("bigint").alias("seq"), frame.alias("frame"), "k", "value")
+    return TensorFrame(df, TensorSpec.of("i8", Axis("frame", -1), Axis("k", 64, 1000.0, 50.0, "MHz")), ("seq",))
+
+
+query("map_sequences", f"WITH {S_SQL} SELECT a.seq, a.frame, a.k, CAST(a.q * b.q AS DOUBLE) AS value FROM Q a JOIN Q b ON a.seq = b.seq AND a.frame = b.frame AND (a.k + 1) % 64 = b.k")(
+    lambda s, d: elementwise.map_expression("c(frame, k) = a(frame, k) * a(frame, k + 1)", {"a": tensor_s(s, d)}).df
+)
+query("fir_sequences", f"WITH {S_SQL} SELECT seq, frame, k, CAST({' + '.join(f'{h} * coalesce(lag(q, {len(_TAPS) - 1 - c}) OVER w, 0)' if c < len(_TAPS) - 1 else f'{h} * q' for c, h in enumerate(_TAPS))} AS DOUBLE) AS value FROM Q WINDOW w AS (PARTITION BY seq, k ORDER BY frame)")(
+    lambda s, d: fir.fir(tensor_s(s, d), _TAPS).df
+)
+query("fir_taps_by_lane", f"WITH {S_SQL} SELECT seq, frame, k, CAST((k % 5 + 1) * q - (k % 3) * coalesce(lag(q) OVER w, 0) AS DOUBLE) AS value FROM Q WINDOW w AS (PARTITION BY seq, k ORDER BY frame)")(
+    lambda s, d: fir.fir(tensor_s(s, d), [[-float(k % 3) for k in range(64)], [k % 5 + 1.0 for k in range(64)]]).df
+)
+_B_SQL = "B AS (SELECT k, j, (k * (j + 1)) % 7 - 3 AS b FROM range(0, 64) x(k), range(0, 5) y(j))"
+query("matmul_sequences", f"WITH {S_SQL}, {_B_SQL} SELECT seq, frame, j, CAST(sum(q * b) AS DOUBLE) AS value FROM Q JOIN B USING (k) GROUP BY ALL")(lambda s, d: linalg.matmul(tensor_s(s, d), _matrix(s), "k").df)
+query("beamform_sequences", f"WITH {S_SQL}, {_B_SQL} SELECT seq, frame, j AS beam, CAST(sum(q * b) AS DOUBLE) AS re, CAST(0 AS DOUBLE) AS im FROM Q JOIN B USING (k) GROUP BY ALL")(
+    lambda s, d: _positive_zero(linalg.beamform(views.rename_axis(_matrix(s), "j", "beam"), tensor_s(s, d), "k").df)
+)
+query("gram_sequences", f"WITH {S_SQL} SELECT seq, a.k AS k_i, b.k AS k_j, CAST(sum(a.q * b.q) AS DOUBLE) AS value FROM Q a JOIN Q b USING (seq, frame) WHERE a.k >= b.k GROUP BY ALL")(lambda s, d: linalg.matmul_aah(tensor_s(s, d), "k", "frame").df)
+query("accumulate_sequences", f"WITH {S_SQL} SELECT seq, frame // 7 AS frame, k, CAST(sum(q) AS BIGINT) AS value FROM Q GROUP BY ALL HAVING count(*) = 7")(lambda s, d: reduce.accumulate(tensor_s(s, d), 7).df)
+def _matrix(s: SparkSession) -> TensorFrame:
+    """A matrix of 64 by 5; its stream axis is the columns."""
+    k, j = F.col("k"), F.col("j")
+    df = s.range(320).select(F.expr("id div 5").alias("k"), (F.col("id") % 5).alias("j")).select("k", "j", ((k * (j + 1)) % 7 - 3).alias("value"))
+    return TensorFrame(df, replace(TensorSpec.of("i64", Axis("k", 64), Axis("j", -1)), axes=(Axis("k", 64), Axis("j", 5))))
+
+
 # ---- gulps, gaps, packets
 
 @query("gulp_overlap", f"WITH {X_SQL} SELECT lane, gulp, CAST(sum(q) AS BIGINT) AS total, count(*) AS n FROM (SELECT *, unnest(range(greatest(0, (frame - 16 + 12) // 12), frame // 12 + 1)) AS gulp FROM X) GROUP BY ALL")
@@ -516,3 +581,182 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 query("spectrometer", f"WITH {_POLS}, T AS ({_detect_sql(f'{_XX} + {_YY}', f'{_XX} - {_YY}', '2 * (xr * yr + xi * yi)', '-2 * (xi * yr - xr * yi)').split('GROUP BY ALL) ', 1)[1].split('GROUP BY ALL) ', 1)[-1]}) SELECT time // 10 AS time, freq, 0::BIGINT AS station, pol, sum(value) AS value FROM T GROUP BY ALL HAVING count(*) = 40")(flagship)
+
+
+# ---- files and packets: written, read back and compared with the tables
+
+
+def _folder(spark: SparkSession, what: str) -> str:
+    """A new folder that driver and executors share, as a path."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{shared.removeprefix('file:').rstrip('/')}/tensor-{what}-{uuid.uuid4().hex}"
+
+
+def _written(rows: DataFrame) -> list[str]:
+    """The files of a write, in order."""
+    return sorted(r["file"] for r in rows.select("file").collect())
+
+
+def _joined(tf: TensorFrame, frames: int) -> DataFrame:
+    """Files of ``frames`` frames as one stream."""
+    t = tf.spec.frame.label
+    return tf.df.withColumn(t, F.col("seq") * frames + F.col(t)).drop("seq").select(*tf.spec.labels, F.col("value").cast("bigint"))
+
+
+def _filterbank(s: SparkSession, d: str, dtype: str = "i8", top: int = 0) -> TensorFrame:
+    """The embeddings as (time, pol, freq)."""
+    e = tensor_e(s, d)
+    value = F.pmod(F.col("value"), F.lit(top)) if top else F.col("value")
+    df = e.df.select("time", F.expr("k div 32").alias("pol"), (F.col("k") % 32).alias("freq"), value.alias("value"))
+    return TensorFrame(df, TensorSpec.of(dtype, Axis("time", -1, 0.0, 0.001, "s"), Axis("pol", 2), Axis("freq", 32, 1000.0, 1.0, "MHz")))
+
+
+_FIL = "SELECT time, k // 32 AS pol, k % 32 AS freq, {v}::BIGINT AS value FROM E"
+
+
+@query("file_sigproc", f"WITH {E_SQL} {_FIL.format(v='q')}")
+def _(s, d):
+    return _joined(files.read_sigproc(s, _written(files.write_sigproc(_filterbank(s, d), _folder(s, "fil"), "obs", 300))), 300)
+
+
+for _bits in (1, 2, 4):
+    query(f"file_sigproc_{_bits}bit", f"WITH {E_SQL} {_FIL.format(v=f'((q + 128) % {2**_bits})')}")(
+        lambda s, d, b=_bits: _joined(files.read_sigproc(s, _written(files.write_sigproc(_filterbank(s, d, f"u{b}", 2**b), _folder(s, "fil"), "obs", 300))), 300)
+    )
+
+
+@query("file_sigproc_beams", f"WITH {E_SQL} SELECT time, k // 32 AS beam, (k // 16) % 2 AS pol, k % 16 AS freq, q AS value FROM E")
+def _(s, d):
+    df = tensor_e(s, d).df.select("time", F.expr("k div 32").alias("beam"), F.expr("(k div 16) % 2").alias("pol"), (F.col("k") % 16).alias("freq"), "value")
+    tf = TensorFrame(df, TensorSpec.of("i8", Axis("time", -1), Axis("beam", 2), Axis("pol", 2), Axis("freq", 16)))
+    out = [_joined(files.read_sigproc(s, _written(rows)), 500).withColumn("beam", F.lit(k).cast("bigint")) for k, rows in files.write_beams(tf, _folder(s, "beams"), "obs", 500).items()]
+    return out[0].unionByName(out[1])
+
+
+@query("file_time_series", f"WITH {E_SQL} SELECT time, k AS pol, 0::BIGINT AS freq, q AS value FROM E")
+def _(s, d):
+    tf = views.rename_axis(tensor_e(s, d), "k", "pol")
+    return _joined(files.read_sigproc(s, _written(files.write_time_series(tf, _folder(s, "tim"), "obs", 26.0, 300))), 300)
+
+
+@query("file_wav", f"WITH {E_SQL} SELECT time, k AS pol, q * 100 AS value FROM E")
+def _(s, d):
+    e = views.rename_axis(tensor_e(s, d), "k", "pol")
+    return _joined(files.read_wav(s, _written(files.write_wav(e.with_values(e.pair.re * 100, "i16"), _folder(s, "wav"), "obs", 300))), 300)
+
+
+@query("file_binary", f"WITH {E_SQL} SELECT time AS streamed, k AS gulped, q AS value FROM E")
+def _(s, d):
+    return _joined(files.read_binary(s, _written(files.write_binary(tensor_e(s, d), _folder(s, "bin"), "obs", 300)), 64, "i8"), 300)
+
+
+@query("file_baseband", f"WITH {E_SQL} SELECT time, k, q AS value FROM E")
+def _(s, d):
+    tf = tensor_e(s, d)
+    rows = files.write_frames(tf, _folder(s, "dada"), "obs", lambda first, nbyte: make_dada({"NCHAN": 64, "NBIT": 8, "OBS_OFFSET": first * 64}), "<i1", 300, "dada")
+    return _joined(files.read_dada(s, _written(rows), lambda h: TensorSpec.of(f"i{h['NBIT']}", Axis("time", -1), Axis("k", h["NCHAN"]))), 300)
+
+
+@query("file_voltages", f"WITH {V_SQL} SELECT time // 5 AS time, freq, time % 5 * 4 + station AS fine_time, pol, re, im FROM V WHERE time < (SELECT max(time) + 1 FROM V) // 5 * 5")
+def _(s, d):
+    v = tensor_v(s, d)
+    last = ((v.df.agg(F.max("time")).head()[0] or -1) + 1) // 5 * 5  # whole blocks
+    df = v.df.where(F.col("time") < F.lit(int(last))).select(F.expr("time div 5").alias("time"), "freq", (F.col("time") % 5 * 4 + F.col("station")).alias("fine_time"), "pol", "re", "im")
+    tf = TensorFrame(df, TensorSpec.of("ci8", Axis("time", -1), Axis("freq", 4, 1000.0, 1.0, "MHz"), Axis("fine_time", 20, 0.0, 1e-6, "s"), Axis("pol", 2)))
+    got = files.read_guppi(s, _written(files.write_guppi(tf, _folder(s, "raw"), "obs")))
+    return got.df.withColumn("time", F.col("seq") + F.col("time")).drop("seq")
+
+
+@query("file_serialized", f"WITH {V_SQL} SELECT * FROM V")
+def _(s, d):
+    path = _folder(s, "serialized")
+    files.serialize(tensor_v(s, d), path)
+    return files.deserialize(s, path).df
+
+
+_P_SQL = "P AS (SELECT event_id AS n, event_id // 4 AS g, event_id % 4 AS c, user_id AS u FROM events)"
+# by format: header values made of g (group), c (one of four) and u; the sources; and what decoding says of them
+_PACKET_FORMATS: dict[str, tuple[dict[str, str], int, str, str]] = {
+    "simple": ({"seq": "g"}, 1, "g", "0"),
+    "chips": ({"roach": "c + 1", "nchan": "2", "seq": "g + 1"}, 4, "g", "c"),
+    "ibeam": ({"server": "c + 1", "nchan": "2", "nbeam": "1", "nserver": "4", "seq": "g + 1"}, 4, "g", "c"),
+    "pbeam": ({"server": "c % 2 + 1", "beam": "c div 2", "nchan": "2", "nserver": "2", "navg": "5", "seq": "g * 5"}, 4, "g", "c"),
+    "snap2": ({"seq": "g", "npol": "2", "npol_tot": "4", "nchan": "8", "nchan_tot": "16", "chan_block_id": "c div 2", "pol0": "c % 2 * 2"}, 4, "g", "c"),
+    "tbn": ({"tbn_id": "c + 1", "time_tag": "g * 512"}, 4, "g", "c"),
+    "drx": ({"frame_count_word": "(c div 2 + 1) * 134217728 + c % 2 * 2147483648", "decimation": "10", "time_offset": "7", "time_tag": "g * 40960 + 7"}, 4, "g", "c"),
+    "cor": ({"frame_count_word": "257", "navg": "100", "stand0": "IF(c > 1, 2, 1)", "stand1": "IF(c = 0, 1, 2)", "time_tag": "g * 196000000"}, 3, "g", "IF(c > 1, 3, c + 1)"),
+}
+_PACKET_FORMATS["drx8"] = _PACKET_FORMATS["drx"]
+
+
+def _packet_rows(s: SparkSession, d: str, fmt: str) -> DataFrame:
+    """A packet for each event, with its number as payload."""
+    values, *_ = _PACKET_FORMATS[fmt]
+    rows = read(s, d, "events").select(F.col("event_id").alias("n"), F.expr("event_id div 4").alias("g"), (F.col("event_id") % 4).alias("c"), F.unhex(F.lpad(F.hex("event_id"), 16, "0")).alias("payload"))
+    return packets.encode(rows, fmt, {k: F.expr(v).cast("bigint") for k, v in values.items()})
+
+
+def _duck(expression: str) -> str:
+    return expression.replace(" div ", " // ").replace("IF(", "if(")
+
+
+for _fmt, (_values, _nsrc, _seq, _src) in _PACKET_FORMATS.items():
+    query(f"packets_{_fmt}", f"WITH {_P_SQL} SELECT n, ({_duck(_seq)})::BIGINT AS seq, ({_duck(_src)})::BIGINT AS src, ({_duck(_src)}) < {_nsrc} AS valid, n AS payload FROM P")(
+        lambda s, d, f=_fmt, k=_nsrc: packets.decode(_packet_rows(s, d, f).select("n", "packet"), f, k).select("n", "seq", "src", "valid", F.conv(F.hex("payload"), 16, 10).cast("bigint").alias("payload"))
+    )
+
+
+@query("packets_recorded", "SELECT event_id AS number, event_id AS payload FROM events")
+def _(s, d):
+    rows = _packet_rows(s, d, "simple")
+    written = _written(files.write_packets(rows, _folder(s, "packets"), "port", "n", 1000))
+    got = files.read_packets(s, written, packets.header_bytes("simple") + 8)
+    return packets.decode(got, "simple", 1).select((F.col("file") * 1000 + F.col("number")).alias("number"), F.conv(F.hex("payload"), 16, 10).cast("bigint").alias("payload"))
+
+
+@query("packets_numbered", f"WITH {_P_SQL} SELECT n, 100 + g * 3 AS seq, 10 + c * 2 AS src FROM P")
+def _(s, d):
+    rows = read(s, d, "events").select(F.col("event_id").alias("n"))
+    return packets.numbered(rows, F.col("n"), 4, 100, 3, 10, 2)
+
+
+_SAMPLE_SQL = "SELECT event_id // 4 AS seq, event_id % 4 AS src, i AS sample, ((event_id + i) % 16 - CASE WHEN (event_id + i) % 16 >= 8 THEN 16 ELSE 0 END)::BIGINT AS re, ((event_id * 3 + i) % 16 - CASE WHEN (event_id * 3 + i) % 16 >= 8 THEN 16 ELSE 0 END)::BIGINT AS im, i // 32 AS chan, i % 32 AS input FROM (SELECT event_id, unnest(range(0, 64)) AS i FROM events)"
+
+
+@query("packets_payload_chips", _SAMPLE_SQL)
+def _(s, d):
+    values, nsrc, *_ = _PACKET_FORMATS["chips"]
+    nibble = lambda x: F.hex(F.pmod(x, F.lit(16)))
+    body = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.concat(nibble(F.col("event_id") + i), nibble(F.col("event_id") * 3 + i))), "")
+    rows = read(s, d, "events").select(F.expr("event_id div 4").alias("g"), (F.col("event_id") % 4).alias("c"), F.unhex(body).alias("payload"))
+    packed = packets.encode(rows, "chips", {k: F.expr(v).cast("bigint") for k, v in values.items()})
+    return packets.samples(packets.decode(packed, "chips", nsrc), "chips")
+
+
+# ---- Jones matrices, statements in a row, assignment into part
+
+_J_SQL = V_SQL + """, J AS (SELECT time, freq, station, max(re) FILTER (pol = 0) AS xr, max(im) FILTER (pol = 0) AS xi, max(re) FILTER (pol = 1) AS yr, max(im) FILTER (pol = 1) AS yi FROM V GROUP BY ALL)"""
+
+
+@query("jones_apply", f"WITH {_J_SQL} SELECT time, freq, station, 0::BIGINT AS pol, CAST(2 * xr - yi AS DOUBLE) AS re, CAST(2 * xi + yr AS DOUBLE) AS im FROM J UNION ALL SELECT time, freq, station, 1::BIGINT, CAST(-xr - xi + 3 * yr AS DOUBLE), CAST(xr - xi + 3 * yi AS DOUBLE) FROM J")
+def _(s, d):
+    return _positive_zero(jones.apply(Jones.of(2, 1j, -1 + 1j, 3), tensor_v(s, d)).df)
+
+
+@query("jones_coherency", f"WITH {_J_SQL} SELECT time, freq, station, CAST(xr * xr + xi * xi + yr * yr + yi * yi AS DOUBLE) AS trace, CAST(0 AS DOUBLE) AS det FROM J")
+def _(s, d):
+    """The coherency of a wave: its trace is the power, its determinant is zero."""
+    v = jones.vectors(tensor_v(s, d))
+    c = jones.Vector.column("x", "y").outer()
+    return v.select("time", "freq", "station", c.trace().re.cast("double").alias("trace"), (F.round(c.det().re.cast("double"), 3) + F.lit(0.0)).alias("det"))
+
+
+@query("map_statements", f"WITH {E_SQL} SELECT time, k, CAST((q + 3) * (q + 3) - q AS DOUBLE) AS value FROM E")
+def _(s, d):
+    return elementwise.map_statements("b = a + 3; c = b * b - a", {"a": tensor_e(s, d)})["c"].df
+
+
+@query("map_part", f"WITH {E_SQL} SELECT time, k, CAST(CASE WHEN k >= 60 THEN 2 * lag(q, 60) OVER (PARTITION BY time ORDER BY k) ELSE q END AS DOUBLE) AS value FROM E")
+def _(s, d):
+    e = tensor_e(s, d)
+    return elementwise.assign_part("a(time, k + 60) = b(time, k) * 2", e, {"b": shape.slice_axis(e, "k", 0, 4)}).df

@@ -1,8 +1,10 @@
 """Files of fixed-size frames, read by ranges of frames and written by files.
 
 A file becomes as many partitions as it has chunks of about 32 MB of whole
-frames, so one long recording is read by the whole cluster.  The paths must be
-on a file system that the executors mount.  Writing rolls over to a new file
+frames, so one long recording is read by the whole cluster.  A path is on a file
+system that driver and executors mount, or a URI (``hdfs://``, ``s3://``, ...) that
+Arrow's file systems open.  Samples of less than 8 bits are packed with the first in
+the lowest bits.  Writing rolls over to a new file
 every ``frames_per_file`` frames; a file is one group, of that bounded size.
 """
 
@@ -11,10 +13,12 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +29,38 @@ from .headers import Layout, make_sigproc, make_wav, parse_cards, parse_dada, si
 CHUNK = 32 << 20
 
 
+def _open(path: str):
+    """A readable file at a path or URI."""
+    if "://" in path:
+        system, path = fs.FileSystem.from_uri(path)
+        return system.open_input_file(path)
+    return open(path.removeprefix("file:"), "rb")
+
+
+def _size(path: str) -> int:
+    with _open(path) as f:
+        return f.seek(0, os.SEEK_END)
+
+
+def unpacked(data: bytes, dtype: str, bits: int) -> np.ndarray:
+    """Samples of ``bits`` bits; of less than 8 the first is in the lowest bits."""
+    if bits >= 8:
+        return np.frombuffer(data, dtype)
+    raw = np.frombuffer(data, np.uint8)
+    cut = (raw[:, None] >> np.arange(0, 8, bits, dtype=np.uint8) & np.uint8(2**bits - 1)).ravel()
+    if dtype[1] != "i":
+        return cut
+    return np.where(cut >= 2 ** (bits - 1), cut.astype(np.int8) - np.int8(2**bits - 1) - np.int8(1), cut.astype(np.int8))
+
+
+def packed(values: np.ndarray, dtype: str, bits: int) -> bytes:
+    """The inverse of :func:`unpacked`."""
+    if bits >= 8:
+        return values.astype(dtype).tobytes()
+    low = (values.astype(np.int64) & (2**bits - 1)).astype(np.uint8).reshape(-1, 8 // bits)
+    return np.bitwise_or.reduce(low << np.arange(0, 8, bits, dtype=np.uint8), axis=1).tobytes()
+
+
 def read_frames(spark: SparkSession, paths: list[str], layout_of: Callable[[bytes], Layout], chunk: int = CHUNK) -> TensorFrame:
     """Frames of one or more files, each a sequence ``seq``; short tails are dropped.
 
@@ -32,12 +68,12 @@ def read_frames(spark: SparkSession, paths: list[str], layout_of: Callable[[byte
     """
     jobs, spec = [], None
     for seq, path in enumerate(paths):
-        with open(path, "rb") as f:
+        with _open(path) as f:
             layout = layout_of(f.read(1 << 16))
         spec = spec or layout.spec
-        frames = (os.path.getsize(path) - layout.offset) // layout.frame_bytes
+        frames = (_size(path) - layout.offset) // layout.frame_bytes
         step = max(1, chunk // layout.frame_bytes)
-        jobs += [(seq, path, a, min(a + step, frames), layout.offset, layout.frame_bytes, layout.dtype, list(layout.shape)) for a in range(0, frames, step)]
+        jobs += [(seq, path, a, min(a + step, frames), layout.offset, layout.frame_bytes, layout.dtype, layout.spec.dtype.nbit, list(layout.shape)) for a in range(0, frames, step)]
     labels = [a.label for a in spec.axes]
     kind = "double" if spec.dtype.is_floating else "bigint"
 
@@ -45,15 +81,15 @@ def read_frames(spark: SparkSession, paths: list[str], layout_of: Callable[[byte
         for batch in batches:
             for job in batch.to_pylist():
                 n, shape = job["stop"] - job["start"], job["shape"]
-                with open(job["path"], "rb") as f:
+                with _open(job["path"]) as f:
                     f.seek(job["offset"] + job["start"] * job["frame_bytes"])
-                    x = np.frombuffer(f.read(n * job["frame_bytes"]), job["dtype"]).reshape(n, *shape)
+                    x = unpacked(f.read(n * job["frame_bytes"]), job["dtype"], job["bits"]).reshape(n, *shape)
                 places = np.indices(x.shape).reshape(x.ndim, -1)
                 places[0] += job["start"]
                 columns = [np.full(x.size, job["seq"]), *places, x.ravel().astype("f8" if kind == "double" else "i8")]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["seq", *labels, "value"])
 
-    table = spark.createDataFrame(jobs, "seq long, path string, start long, stop long, offset long, frame_bytes long, dtype string, shape array<long>").repartition(max(1, len(jobs)))
+    table = spark.createDataFrame(jobs, "seq long, path string, start long, stop long, offset long, frame_bytes long, dtype string, bits int, shape array<long>").repartition(max(1, len(jobs)))
     rows = table.mapInArrow(load, f"seq long, {', '.join(f'`{c}` long' for c in labels)}, value {kind}")
     return TensorFrame(rows, spec, ("seq",))
 
@@ -92,13 +128,13 @@ def read_packets(spark: SparkSession, paths: list[str], packet_bytes: int, chunk
     """Recorded packets of one size: ``file``, ``number`` and ``packet``."""
     step, jobs = max(1, chunk // packet_bytes), []
     for k, path in enumerate(paths):
-        n = os.path.getsize(path) // packet_bytes
+        n = _size(path) // packet_bytes
         jobs += [(k, path, a, min(a + step, n)) for a in range(0, n, step)]
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for job in batch.to_pylist():
-                with open(job["path"], "rb") as f:
+                with _open(job["path"]) as f:
                     f.seek(job["start"] * packet_bytes)
                     held = [f.read(packet_bytes) for _ in range(job["stop"] - job["start"])]
                 yield pa.RecordBatch.from_arrays([pa.array([job["file"]] * len(held), pa.int64()), pa.array(range(job["start"], job["stop"]), pa.int64()), pa.array(held, pa.binary())], ["file", "number", "packet"])
@@ -120,8 +156,8 @@ def read_guppi(spark: SparkSession, paths: list[str]) -> TensorFrame:
     """
     jobs, first = [], None
     for seq, path in enumerate(paths):
-        at, size, n = 0, os.path.getsize(path), 0
-        with open(path, "rb") as f:
+        at, size, n = 0, _size(path), 0
+        with _open(path) as f:
             while at < size:
                 f.seek(at)
                 h, length = parse_cards(f.read(1 << 15))
@@ -139,7 +175,7 @@ def read_guppi(spark: SparkSession, paths: list[str]) -> TensorFrame:
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for job in batch.to_pylist():
-                with open(job["path"], "rb") as f:
+                with _open(job["path"]) as f:
                     f.seek(job["at"])
                     x = np.frombuffer(f.read(job["size"]), f"<i{nbits // 8}").reshape(nchan, fine, npol, 2)
                 places = np.indices(x.shape[:3]).reshape(3, -1)
@@ -159,11 +195,12 @@ def write_frames(tf: TensorFrame, folder: str, name: str, header_of: Callable[[i
     harm.  Rows: file and bytes.
     """
     os.makedirs(folder, exist_ok=True)
+    bits = tf.spec.dtype.nbit
     frame, others = tf.spec.frame.label, [a.label for a in tf.spec.axes if not a.is_frame]
 
     def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([frame, *others])
-        data = rows["value"].to_numpy().astype(dtype).tobytes()
+        data = packed(rows["value"].to_numpy(), dtype, bits)
         path = f"{folder}/{name}.{key[0]:06d}.{ext}"
         with open(f"{path}.{os.getpid()}.part", "wb") as f:
             f.write(header_of(int(key[0]) * frames_per_file, len(data)) + data)
@@ -174,16 +211,82 @@ def write_frames(tf: TensorFrame, folder: str, name: str, header_of: Callable[[i
     return rows.groupBy("__file").applyInPandas(write, "file string, nbyte long")
 
 
-def write_sigproc(tf: TensorFrame, folder: str, name: str, frames_per_file: int = 1 << 20) -> DataFrame:
-    """(time, pol, freq) as filterbank files."""
+def write_sigproc(tf: TensorFrame, folder: str, name: str, frames_per_file: int = 1 << 20, more: dict | None = None) -> DataFrame:
+    """(time, pol, freq) as filterbank files; ``more`` are further header values."""
     time, pol, freq = tf.spec.axes
     d = tf.spec.dtype
 
     def header(first: int, _: int) -> bytes:
         start = (time.start + first * time.step) / 86400 + 40587
-        return make_sigproc({"data_type": 1, "nbits": d.nbit, "nifs": pol.size, "nchans": freq.size, "fch1": freq.start, "foff": freq.step, "tstart": start, "tsamp": time.step, "signed": int(d.is_signed)})
+        return make_sigproc({"data_type": 1, "nbits": d.nbit, "nifs": pol.size, "nchans": freq.size, "fch1": freq.start, "foff": freq.step, "tstart": start, "tsamp": time.step, "signed": int(d.is_signed)} | (more or {}))
+
+    return write_frames(tf, folder, name, header, f"<{d.kind}{max(d.nbit, 8) // 8}", frames_per_file, "fil")
+
+
+def write_beams(tf: TensorFrame, folder: str, name: str, frames_per_file: int = 1 << 20) -> dict[int, DataFrame]:
+    """(beam, time, pol, freq) or (time, beam, pol, freq) as filterbank files of each beam, as the header's ``nbeams`` and ``ibeam`` say."""
+    beams, spec = tf.spec.axis("beam"), tf.spec.with_axis("beam")
+    out = {}
+    for k in range(beams.size):  # as many as the axis has
+        one = TensorFrame(tf.df.where(F.col("beam") == k), spec, tf.keys)
+        out[k] = write_sigproc(one, folder, f"{name}.beam{k:03d}", frames_per_file, {"nbeams": beams.size, "ibeam": k + 1})
+    return out
+
+
+def write_time_series(tf: TensorFrame, folder: str, name: str, dm: float = 0.0, frames_per_file: int = 1 << 24) -> DataFrame:
+    """(time, pol) as time-series files (data type 2), dedispersed at ``dm``."""
+    time, pol = tf.spec.axes
+    d = tf.spec.dtype
+
+    def header(first: int, _: int) -> bytes:
+        start = (time.start + first * time.step) / 86400 + 40587
+        return make_sigproc({"data_type": 2, "nbits": d.nbit, "nifs": pol.size, "nchans": 1, "tstart": start, "tsamp": time.step, "refdm": dm, "signed": int(d.is_signed)})
 
-    return write_frames(tf, folder, name, header, f"<{d.kind}{d.nbit // 8}", frames_per_file, "fil")
+    return write_frames(tf, folder, name, header, f"<{d.kind}{max(d.nbit, 8) // 8}", frames_per_file, "tim")
+
+
+def write_dispersion(tf: TensorFrame, folder: str, name: str, frames_per_file: int = 1 << 24) -> dict[int, DataFrame]:
+    """(dispersion, time) or (time, dispersion) as a time-series file of each dispersion measure."""
+    axis, spec = tf.spec.axis("dispersion"), tf.spec.with_axis("dispersion")
+    time = spec.frame
+    out = {}
+    for k in range(axis.size):  # as many as the axis has
+        rows = tf.df.where(F.col("dispersion") == k).withColumn("pol", F.lit(0).cast("bigint"))
+        one = TensorFrame(rows, replace(spec, axes=(time, Axis("pol", 1))), tf.keys)
+        dm = axis.start + k * axis.step
+        out[k] = write_time_series(one, folder, f"{name}.{dm:08.2f}", dm, frames_per_file)
+    return out
+
+
+def write_guppi(tf: TensorFrame, folder: str, name: str) -> DataFrame:
+    """(time, freq, fine_time, pol) voltages as files of one block, a frame each."""
+    time, freq, fine, pol = tf.spec.axes
+    d = tf.spec.dtype
+    parts = F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("part"), F.col("re").alias("value")), F.struct(F.lit(1).cast("bigint").alias("part"), F.col("im").alias("value"))))
+    rows = tf.df.withColumn("__p", parts).select(*tf.index, "__p.part", "__p.value")
+    flat = TensorFrame(rows, replace(tf.spec.with_dtype(d.as_real()), axes=(*tf.spec.axes, Axis("part", 2))), tf.keys)
+
+    def header(_: int, nbyte: int) -> bytes:
+        cards = {"BLOCSIZE": nbyte, "OBSNCHAN": freq.size, "NPOL": 4 if pol.size == 2 else 1, "NBITS": d.nbit, "TBIN": fine.step, "OBSFREQ": freq.start + freq.step * (freq.size - 1) / 2, "OBSBW": freq.step * freq.size}
+        return b"".join(f"{k:<8}= {v!r:>20}".ljust(80).encode() for k, v in cards.items()) + b"END".ljust(80)
+
+    return write_frames(flat, folder, name, header, f"<i{d.nbit // 8}", 1, "raw")
+
+
+def write_packets(packets: DataFrame, folder: str, name: str, order: str, packets_per_file: int = 1 << 18, packet: str = "packet") -> DataFrame:
+    """Packets one after another in files of at most ``packets_per_file``; ``order`` counts them densely from 0."""
+    os.makedirs(folder, exist_ok=True)
+
+    def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        data = b"".join(rows.sort_values("n")["packet"])
+        path = f"{folder}/{name}.{key[0]:06d}.pkt"
+        with open(f"{path}.{os.getpid()}.part", "wb") as f:
+            f.write(data)
+        os.replace(f.name, path)
+        return pd.DataFrame({"file": [path], "nbyte": [len(data)]})
+
+    rows = packets.select(F.expr(f"`{order}` div {packets_per_file}").alias("__file"), F.col(order).alias("n"), F.col(packet).alias("packet"))
+    return rows.groupBy("__file").applyInPandas(write, "file string, nbyte long")
 
 
 def write_wav(tf: TensorFrame, folder: str, name: str, frames_per_file: int = 1 << 24) -> DataFrame:

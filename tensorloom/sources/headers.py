@@ -78,8 +78,8 @@ def unix_of_mjd(mjd: float) -> float:
 def sigproc_layout(data: bytes) -> Layout:
     h, offset = parse_sigproc(data)
     nbits, nifs, nchans = h["nbits"], h.get("nifs", 1), h.get("nchans", 1)
-    if nbits < 8:
-        raise ValueError("packed samples: read bytes and unpack")
+    if nbits < 8 and nifs * nchans * nbits % 8:
+        raise ValueError(f"a frame of {nifs * nchans} samples of {nbits} bits is no whole number of bytes")
     kind = "f" if nbits >= 32 else "i" if h.get("signed") else "u"  # wide samples are floats
     start = unix_of_mjd(h.get("tstart", 40587.0))
     spec = TensorSpec.of(
@@ -90,7 +90,7 @@ def sigproc_layout(data: bytes) -> Layout:
         time_tag=round(start * 2**32),
         **{k: h[k] for k in ("source_name", "telescope_id", "machine_id") if k in h},
     )
-    return Layout(offset, nifs * nchans * nbits // 8, f"<{kind}{nbits // 8}", (nifs, nchans), spec)
+    return Layout(offset, nifs * nchans * nbits // 8, f"<{kind}{max(nbits, 8) // 8}", (nifs, nchans), spec)
 
 
 def wav_layout(data: bytes) -> Layout:

@@ -32,8 +32,8 @@ FORMATS["vbeam"] = [("sync_word", 8), ("sync_time", 8), ("time_tag", 8), ("bw_hz
 VDIF = [[("seconds", 30), ("legacy", 1), ("invalid", 1)], [("frame", 24), ("epoch", 6), ("_", 2)], [("length", 24), ("log2_nchan", 5), ("version", 3)], [("station", 16), ("thread", 10), ("bits_less_one", 5), ("complex", 1)]]
 #: Ticks of the sampling clock in a second.
 CLOCK = 196_000_000
-#: Bits of a component of the samples in the payload.
-SAMPLE_BITS = {"tbn": 8, "drx": 4, "drx8": 8}
+#: Samples of the payload: bits of a component (floating if 32), components of one, and samples of a channel (0: no channels).
+PAYLOAD = {"tbn": (8, 2, 0), "drx": (4, 2, 0), "drx8": (8, 2, 0), "simple": (16, 2, 1), "chips": (4, 2, 32), "snap2": (4, 2, 64), "ibeam": (32, 2, 2), "pbeam": (32, 1, 4), "cor": (32, 2, 4), "vdif": (8, 2, 0)}
 
 
 def header_bytes(fmt: str) -> int:
@@ -71,10 +71,12 @@ def _vdif(packets: DataFrame, nsrc: int, src0: int, frames_per_second: int, pack
     return packets.withColumns({"seq": seq, "src": src.cast("bigint"), "time_tag": seq, "valid": known, "payload": rest})
 
 
-def decode(packets: DataFrame, fmt: str, nsrc: int, src0: int = 0, decimation: int = 1, packet: str = "packet") -> DataFrame:
+def decode(packets: DataFrame, fmt: str, nsrc: int, src0: int = 0, decimation: int = 1, packet: str = "packet", nbeam: int | None = None) -> DataFrame:
     """Packets with ``seq``, ``src``, ``time_tag``, ``valid`` and ``payload``.
 
-    A packet that is too short or whose source is out of range is not valid.
+    A packet that is too short or whose source is out of range is not valid;
+    nor are those of ``ibeam`` with other than ``nbeam`` beams, if that is
+    given, and of ``snap2`` whose blocks are not ``nsrc`` in all.
     ``decimation`` is the raw samples of one (for ``vdif`` frames in a second).
     """
     if fmt == "vdif":
@@ -113,6 +115,10 @@ def decode(packets: DataFrame, fmt: str, nsrc: int, src0: int = 0, decimation: i
         raise ValueError(f"packets of format {fmt!r} are only written")
     size = header_bytes(fmt)
     whole = F.octet_length(packet) > size
+    if fmt == "ibeam" and nbeam is not None:
+        whole &= h["nbeam"] == nbeam
+    if fmt == "snap2":
+        whole &= div(h["npol_tot"], F.greatest(h["npol"], F.lit(1))) * div(h["nchan_tot"], F.greatest(h["nchan"], F.lit(1))) == nsrc
     known = F.coalesce(whole & (seq >= 0) & (src >= 0) & (src < nsrc), F.lit(False))
     return packets.withColumns({"seq": seq, "src": src.cast("bigint"), "time_tag": tag, "valid": known, "payload": F.expr(f"substring(`{packet}`, {size + 1})")})
 
@@ -127,22 +133,43 @@ def encode(rows: DataFrame, fmt: str, values: dict[str, Column | int], payload:
     return rows.withColumn(out, F.concat(*parts, F.col(payload)))
 
 
-def samples(decoded: DataFrame, fmt: str) -> DataFrame:
-    """Valid packets' payloads as rows ``seq``, ``src``, ``sample``, ``re``, ``im``."""
-    bits = SAMPLE_BITS[fmt]
+def samples(decoded: DataFrame, fmt: str, by_channel: int | None = None) -> DataFrame:
+    """Valid packets' payloads as rows ``seq``, ``src``, ``sample``, ``re``, ``im``.
 
-    @F.arrow_udf("struct<re:array<int>,im:array<int>>")
+    Formats with channels (``by_channel`` samples in each, where it is not the
+    usual number: beams times polarisations, inputs) also have ``chan`` and
+    ``input``.  Packed components are high and low half of a byte.
+    """
+    bits, components, per = PAYLOAD[fmt]
+    per = by_channel or per
+    kind = "double" if bits == 32 else "bigint"
+
+    @F.arrow_udf(f"struct<re:array<{kind}>,im:array<{kind}>>")
     def split(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = pa.list_(pa.float64() if bits == 32 else pa.int64())
         for payloads in batches:
             re, im = [], []
             for p in payloads:
-                x = np.frombuffer(p.as_py(), np.int8)
-                a, b = (x >> 4, (x << 4).astype(np.int8) >> 4) if bits == 4 else (x[0::2], x[1::2])
-                re.append(a.astype(np.int32))
-                im.append(b.astype(np.int32))
-            kind = pa.list_(pa.int32())
-            yield pa.StructArray.from_arrays([pa.array(re, kind), pa.array(im, kind)], ["re", "im"])
+                data = p.as_py()
+                if bits == 4:
+                    x = np.frombuffer(data, np.int8)
+                    a, b = x >> 4, (x << 4).astype(np.int8) >> 4
+                else:
+                    x = np.frombuffer(data, "<f4" if bits == 32 else f"<i{bits // 8}", len(data) // (bits // 8))
+                    a, b = (x[0::2], x[1::2]) if components == 2 else (x, np.zeros(len(x)))
+                re.append(a.astype(own.value_type.to_pandas_dtype()))
+                im.append(b[: len(a)].astype(own.value_type.to_pandas_dtype()))
+            yield pa.StructArray.from_arrays([pa.array(re, own), pa.array(im, own)], ["re", "im"])
 
     rows = decoded.where("valid").select("seq", "src", split("payload").alias("__s"))
     rows = rows.select("seq", "src", F.posexplode(F.arrays_zip("__s.re", "__s.im")).alias("sample", "__v"))
-    return rows.select("seq", "src", F.col("sample").cast("bigint"), F.col("__v.re").cast("bigint").alias("re"), F.col("__v.im").cast("bigint").alias("im"))
+    out = rows.select("seq", "src", F.col("sample").cast("bigint"), F.col("__v.re").alias("re"), F.col("__v.im").alias("im"))
+    if not per:
+        return out
+    return out.withColumns({"chan": F.expr(f"sample div {per}"), "input": F.col("sample") % per})
+
+
+def numbered(rows: DataFrame, place: Column, nsrc: int, seq0: int = 0, seq_step: int = 1, src0: int = 0, src_step: int = 1) -> DataFrame:
+    """Rows with ``seq`` and ``src`` of a sender's packets: ``nsrc`` sources of each sequence number, by their dense ``place``."""
+    n = F.call_function("div", place, F.lit(nsrc))
+    return rows.withColumns({"seq": F.lit(seq0) + n * seq_step, "src": F.lit(src0) + place % nsrc * src_step})
