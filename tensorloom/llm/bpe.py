@@ -33,11 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import small_batches
-
-#: Held per Python worker, so that tasks of one executor share the states.
-_ENCODERS: dict[tuple[str, str], "ByteBpe"] = {}
-_DECODERS: dict[str, "ByteDecoder"] = {}
+from .tables import held, small_batches
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -92,7 +88,7 @@ class _Pieces(dict):
 class ByteBpe:
     """Encoder for one table of ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = 100_000, max_pieces: int = 250_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = 80_000, max_pieces: int = 170_000):
         self.ranks = ranks
         self.table = {i: t for t, i in ranks.items()}
         # a trie of the entries: child by node and byte, entry (or -1) and whether it goes on by node
@@ -118,9 +114,8 @@ class ByteBpe:
 
     @classmethod
     def load(cls, path: str, pattern: str) -> "ByteBpe":
-        if (path, pattern) not in _ENCODERS:
-            _ENCODERS[path, pattern] = cls(read_ranks(path), pattern)
-        return _ENCODERS[path, pattern]
+        """The encoder of this worker: its tasks share the states."""
+        return held(("bpe", path, pattern), lambda: cls(read_ranks(path), pattern))
 
     def _state(self, ways: tuple) -> _State:
         if (known := self.states.get(ways)) is None:
@@ -255,14 +250,12 @@ class ByteBpe:
 class ByteDecoder:
     """Decoder for one table of ranks."""
 
-    def __init__(self, ranks: dict[bytes, int]):
-        self.table = {i: t for t, i in ranks.items()}
+    def __init__(self, table: dict[int, bytes]):
+        self.table = table
 
     @classmethod
     def load(cls, path: str) -> "ByteDecoder":
-        if path not in _DECODERS:
-            _DECODERS[path] = cls(read_ranks(path))
-        return _DECODERS[path]
+        return held(("bytes", path), lambda: cls({i: t for t, i in read_ranks(path).items()}))
 
     def decode(self, packed: bytes, step: int = 8192) -> str:
         """The text of packed ids, decoded ``step`` tokens at a time."""
@@ -340,7 +333,8 @@ def round_trip_column(text: Column | str, vocab: str, pattern: str) -> Column:
 
     @F.arrow_udf("struct<token_ids:binary,decoded:string>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder, decoder = ByteBpe.load(vocab, pattern), ByteDecoder.load(vocab)
+        encoder = ByteBpe.load(vocab, pattern)
+        decoder = ByteDecoder(encoder.table)
         for texts in batches:
             gc.disable()
             try:

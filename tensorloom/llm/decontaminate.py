@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import small_batches
+from .tables import release, small_batches
 from .words import word_hashes
 
 TERMS, RANK, WINDOW, STRIDE = 1 << 18, 256, 24, 12
@@ -66,6 +66,7 @@ def document_frequencies(docs: DataFrame, text: str = "text", pieces: int = 64)
     width = TERMS // pieces
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         total, n = np.zeros(TERMS, np.int64), 0
         for batch in batches:
             for t in batch.column(0):
@@ -295,6 +296,7 @@ def _search(docs: DataFrame, index: Index, schema: str, cosine: float, covers: f
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         own = shared.value
         for batch in batches:
             out = []

@@ -33,7 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import small_batches
+from .tables import release, small_batches
 
 _LETTER = regex.compile(r"\p{L}")
 _ASCII = np.array([c if chr(c).isalpha() else 32 for c in range(128)], dtype=np.uint32)
@@ -174,6 +174,7 @@ def language_column(text: Column | str, model: LanguageModel) -> Column:
 
     @F.arrow_udf("struct<lang:string,score:double,rejected:boolean>")
     def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         for texts in batches:
             found = [model.predict(t.as_py()) for t in texts]
             columns = list(zip(*found, strict=True)) or [(), (), ()]

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .tables import small_batches, stored
+from .tables import release, small_batches, stored
 from .words import mix, weighted_shingles
 
 NGRAM, THRESHOLD, BANDS, ROWS, SLOTS, BITS = 5, 0.8, 18, 4, 256, 4
@@ -102,6 +102,7 @@ def bands_column(text: Column, ngram: int, bands: int, rows: int) -> Column:
 
     @F.arrow_udf("array<bigint>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        release()
         for texts in batches:
             yield _lists([hashed(t.as_py()) for t in texts])
 

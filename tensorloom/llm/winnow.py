@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import small_batches
+from .tables import release, small_batches
 
 GRAM, WINDOW = 10, 24
 _BASE = 0x9E3779B97F4A7C15
@@ -182,6 +182,7 @@ def compare_edited(docs: DataFrame, key: str = "doc_id", text: str = "text", gra
     dealt, _ = with_following(docs, key, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held = None  # block, key, text and fingerprint of the row that waits for its follower
         for batch in batches:
             out = []
