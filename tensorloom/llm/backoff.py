@@ -11,14 +11,16 @@ The counts are a table partitioned by hash.  A row for each n-gram of each
 document would be many times the corpus, so the exploded n-grams travel
 packed: documents are dealt into batches of about ``batch_bytes`` of text by
 hash; a batch sends each partition of the table its distinct n-grams with
-their counts, sorted, in one binary row; the partition sums them over batches
+their counts, sorted, as differences, in one binary row; the partition sums them over batches
 and answers each row with the totals in the same order; the answers are joined
 to the batch's documents and summed by document.  A frequent n-gram is one
 entry in each batch, so no partition is hot, and the numbers of batches and
 partitions follow the size of the corpus, so no group outgrows a task.
 
 Nulls are empty texts.  Documents without words have score 0.  Repeated rows
-are counted, and scored, as often as they occur.
+are counted, and scored, as often as they occur; rows of one key and one text
+share a batch.  A very long text makes its batch longer.  Columns beside key
+and text are not read.
 """
 
 from __future__ import annotations
@@ -55,12 +57,26 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data), "<u4")
 
 
-def _batch(texts: pa.ChunkedArray, order: int) -> tuple[list[list[np.ndarray]], np.ndarray, np.ndarray]:
-    """The n-grams of each text, the distinct ones of all, ascending, and their counts."""
+def _packed_hashes(hashes: np.ndarray) -> bytes:
+    """Ascending hashes as the first one and differences, in as many bytes each as the widest needs."""
+    steps = np.diff(hashes)
+    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + hashes[:1].tobytes() + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+
+
+def _unpacked_hashes(data: bytes) -> np.ndarray:
+    width = data[0]
+    raw = np.frombuffer(data, np.uint8, offset=9).reshape(-1, width)
+    steps = np.zeros((len(raw) + 1, 8), np.uint8)
+    steps[0] = np.frombuffer(data, np.uint8, 8, 1)
+    steps[1:, :width] = raw
+    return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
+
+
+def _grams(texts: pa.ChunkedArray, order: int) -> tuple[list[list[int]], np.ndarray]:
+    """How many n-grams of each length each text has, and all their hashes in that order."""
     own = [ngrams(word_hashes(t.as_py()), order) for t in texts]
-    held = [g for grams in own for g in grams]
-    distinct, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *held]), return_counts=True)
-    return own, distinct, counts
+    return [[len(g) for g in grams] for grams in own], np.concatenate([np.zeros(0, np.uint64), *[g for grams in own for g in grams]])
 
 
 def _cuts(distinct: np.ndarray, parts: int) -> np.ndarray:
@@ -69,18 +85,21 @@ def _cuts(distinct: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate(([0], np.searchsorted(distinct, edges), [len(distinct)]))
 
 
-def scores(own: list[np.ndarray], distinct: np.ndarray, totals: np.ndarray, order: int, alpha: float, min_count: int) -> tuple[float, int, int]:
-    """Of one text: sum of logarithms without ``-log N``, words at the last level, words."""
-    n = len(own[0])
+def scores(count: list[np.ndarray], alpha: float, min_count: int, order: int) -> tuple[float, int, int]:
+    """Of one text: sum of logarithms without ``-log N``, words at the last level, words.
+
+    ``count`` has for each length the counts of its n-grams in the corpus.
+    """
+    n = len(count[0])
     if not n:
         return 0.0, 0, 0
-    count = [totals[np.searchsorted(distinct, g)].astype(np.float64) for g in own]
-    value, open_ = np.log(count[0]), np.ones(n, bool)
+    logs = [np.log(c) for c in count]
+    value, open_ = logs[0].copy(), np.ones(n, bool)
     value += math.log(alpha) * np.minimum(np.arange(n), order - 1)
-    for k in range(2, len(own) + 1):  # the longest is asked last and so decides
+    for k in range(2, len(count) + 1):  # the longest is asked last and so decides
         ends = np.arange(k - 1, n)
         seen = count[k - 1] >= min_count
-        better = np.log(count[k - 1]) - np.log(count[k - 2][:-1]) + math.log(alpha) * (np.minimum(ends, order - 1) - (k - 1))
+        better = logs[k - 1] - logs[k - 2][:-1] + math.log(alpha) * (np.minimum(ends, order - 1) - (k - 1))
         value[ends[seen]] = better[seen]
         open_[ends[seen]] = False
     return float(value.sum()), int(open_.sum()), n
@@ -95,18 +114,18 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", or
     rows = rows.withColumn("batch", F.pmod(F.xxhash64("key", "text"), F.lit(batches)))
 
     def request(group: pa.Table) -> pa.Table:
-        _, distinct, counts = _batch(group["text"], order)
+        distinct, counts = np.unique(_grams(group["text"], order)[1], return_counts=True)
         cuts = _cuts(distinct, parts)
         used = np.flatnonzero(np.diff(cuts))
         return pa.table({
             "part": pa.array(used, pa.int64()),
             "batch": pa.array(np.full(len(used), group["batch"][0].as_py()), pa.int64()),
-            "hashes": pa.array([distinct[cuts[p] : cuts[p + 1]].tobytes() for p in used], pa.binary()),
+            "hashes": pa.array([_packed_hashes(distinct[cuts[p] : cuts[p + 1]]) for p in used], pa.binary()),
             "counts": pa.array([_packed(counts[cuts[p] : cuts[p + 1]]) for p in used], pa.binary()),
         })
 
     def total(group: pa.Table) -> pa.Table:
-        hashes = [np.frombuffer(h.as_py(), np.uint64) for h in group["hashes"]]
+        hashes = [_unpacked_hashes(h.as_py()) for h in group["hashes"]]
         counts = np.concatenate([_unpacked(c.as_py()) for c in group["counts"]])
         distinct, at = np.unique(np.concatenate(hashes), return_inverse=True)
         sums = np.bincount(at, weights=counts, minlength=len(distinct))[at]
@@ -116,10 +135,15 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", or
         return pa.table({"batch": group["batch"], "part": group["part"], "totals": pa.array(answers, pa.binary())})
 
     def score(group: pa.Table, answers: pa.Table) -> pa.Table:
-        own, distinct, _ = _batch(group["text"], order)
+        sizes, grams = _grams(group["text"], order)
+        at = np.unique(grams, return_inverse=True)[1]
         found = sorted(zip(answers["part"].to_pylist(), answers["totals"].to_pylist(), strict=True))
-        totals = np.concatenate([np.zeros(0, np.uint32), *[_unpacked(t) for _, t in found]])
-        values = [scores(g, distinct, totals, order, alpha, min_count) for g in own]
+        counts = np.concatenate([np.zeros(0, np.uint32), *[_unpacked(t) for _, t in found]])[at].astype(np.float64)
+        values, begin = [], 0
+        for own in sizes:
+            ends = np.cumsum([begin, *own]).tolist()
+            values.append(scores([counts[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], alpha, min_count, order))
+            begin = ends[-1]
         return pa.table({
             "key": group["key"],
             "value": pa.array([v[0] for v in values], pa.float64()),
