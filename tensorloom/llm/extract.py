@@ -14,7 +14,8 @@ sentences in many page layouts whose blocks it labels as it writes them, so
 nothing is learned from the pages that are judged.  Their number is a
 parameter.
 
-Character references are decoded; white space inside a block becomes one
+In a tag a quote opens a value only after an equals sign; elsewhere it is a sign
+like others.  Character references are decoded; white space inside a block becomes one
 space; blocks are joined in page order by one space.  A null or empty page has
 an empty text.  Broken markup is read as far as it goes: an unknown closing
 tag is passed over, an unclosed one ends with its parent.  Repeated rows get
@@ -28,7 +29,7 @@ import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
+from functools import lru_cache
 from zlib import crc32
 
 import numpy as np
@@ -43,7 +44,7 @@ BLOCKS = frozenset("address article aside blockquote body br center dd details d
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style template noscript iframe svg object textarea select".split())
 CLOSED_BY = {"p": BLOCKS - {"br"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*')?)*+)(?:>|\Z)", re.S)
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-label|itemprop|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*")
 BUCKETS = 1 << 14
@@ -56,7 +57,7 @@ class Block:
     path: tuple[str, ...]  # signs of the enclosing tags, outermost first
 
 
-@cache
+@lru_cache(maxsize=4096)  # few kinds of tags make most of them
 def _signs(tag: str, attributes: str) -> tuple[str, ...]:
     """A tag and the words of the attributes that name its purpose."""
     out = [tag]
