@@ -50,6 +50,32 @@ def reduce(tf: TensorFrame, axis: int | str, factor: int | None = None, op: str
     return TensorFrame(df, tf.spec.with_axis(axis, new).with_dtype("f32" if value.im is None else "cf32"), tf.keys)
 
 
+def reduce_to(tf: TensorFrame, sizes: dict[str, int], op: str = "sum") -> TensorFrame:
+    """Axes as small as ``sizes`` says, their groups as one: the factors follow from the shapes.
+
+    For the stream the number is that of its gulp of frames.
+    """
+    power, name = op.startswith("pwr"), op.removeprefix("pwr")
+    if name not in OPS:
+        raise ValueError(f"unknown operation {op!r}")
+    value, spec, group = tf.pair.mag2() if power else tf.pair, tf.spec, {}
+    if value.im is not None and name in ("min", "max"):
+        raise ValueError(f"{op!r} of complex elements")
+    for label, size in sizes.items():
+        old = tf.spec.axis(label)
+        whole = tf.spec.gulp_nframe if old.is_frame else old.size
+        if size < 1 or whole % size:
+            raise ValueError(f"axis {label!r} of size {whole} does not become {size}")
+        factor = whole // size
+        group[label] = F.expr(f"`{label}` div {factor}").alias(label)
+        spec = spec.with_axis(label, replace(old, size=-1 if old.is_frame else size, step=old.step * factor))
+        if old.is_frame:
+            spec = spec.with_header(gulp_nframe=size)
+    values = {"value": value.re} if value.im is None else {"re": value.re, "im": value.im}
+    df = tf.df.groupBy(*tf.over(*sizes), *group.values()).agg(*[_aggregate(name, x).alias(c) for c, x in values.items()])
+    return TensorFrame(df, spec.with_dtype("f32" if value.im is None else "cf32"), tf.keys)
+
+
 def accumulate(tf: TensorFrame, nframe: int, keep_partial: bool = False) -> TensorFrame:
     """Sums of ``nframe`` frames; an unfinished one at the end is dropped."""
     return _integrate(tf, nframe, F.sum, keep_partial)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..frame import TensorFrame
@@ -94,6 +95,23 @@ def conj(tf: TensorFrame) -> TensorFrame:
     return tf.with_values(tf.pair.conj(), tf.spec.dtype) if tf.spec.dtype.is_complex else tf
 
 
+def byteswap(tf: TensorFrame) -> TensorFrame:
+    """Integer elements with their bytes in the other order."""
+    d = tf.spec.dtype
+    if d.is_floating or d.nbit not in (8, 16, 32):
+        raise ValueError(f"cannot swap the bytes of {d}")
+
+    def swapped(c: str) -> Column:
+        word = F.pmod(F.col(c).cast("bigint"), F.lit(2**d.nbit))
+        parts = [F.shiftright(word, 8 * k).bitwiseAND(255) * 2 ** (d.nbit - 8 - 8 * k) for k in range(d.nbit // 8)]
+        whole = parts[0]
+        for x in parts[1:]:
+            whole = whole + x
+        return (F.when(whole >= 2 ** (d.nbit - 1), whole - 2**d.nbit).otherwise(whole) if d.is_signed else whole).cast(d.sql())
+
+    return TensorFrame(tf.df.withColumns({c: swapped(c) for c in tf.values}), tf.spec, tf.keys)
+
+
 def cast(tf: TensorFrame, dtype: str) -> TensorFrame:
     """Elements as another type: the real part alone, or with a zero imaginary part."""
     new = TensorFrame.values_of(tf.spec.with_dtype(dtype))

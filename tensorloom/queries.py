@@ -567,11 +567,25 @@ query("capture_status", f"WITH {_CHANS} SELECT frame, lane, chan0, CASE WHEN b I
 )
 
 
-@query("sequence_at", "WITH S AS (SELECT user_id, event_id AS tag, event_id * 10 AS seq FROM events WHERE event_id % 10 = 0), R AS (SELECT user_id, event_id FROM events WHERE event_id % 10 <> 0) SELECT R.user_id, R.event_id, coalesce(S.seq, -1) AS seq FROM R ASOF LEFT JOIN S ON R.user_id = S.user_id AND R.event_id >= S.tag")
-def _(s, d):
+_TAGS = "S AS (SELECT user_id, event_id AS tag, event_id * 10 AS seq FROM events WHERE event_id % 10 = 0), R AS (SELECT user_id, event_id FROM events WHERE event_id % 10 <> 0)"
+_AT = {
+    "at": f"WITH {_TAGS} SELECT R.user_id, R.event_id, coalesce(S.seq, -1) AS seq FROM R ASOF LEFT JOIN S ON R.user_id = S.user_id AND R.event_id >= S.tag",
+    "next": f"WITH {_TAGS} SELECT R.user_id, R.event_id, coalesce(S.seq, -1) AS seq FROM R ASOF LEFT JOIN S ON R.user_id = S.user_id AND R.event_id < S.tag",
+    "earliest": f"WITH {_TAGS} SELECT user_id, event_id, coalesce(s, -1) AS seq FROM R LEFT JOIN (SELECT user_id, min(seq) AS s FROM S GROUP BY ALL) USING (user_id)",
+    "latest": f"WITH {_TAGS} SELECT user_id, event_id, coalesce(s, -1) AS seq FROM R LEFT JOIN (SELECT user_id, max(seq) AS s FROM S GROUP BY ALL) USING (user_id)",
+}
+
+
+def _sequence_at(s: SparkSession, d: str, which: str) -> DataFrame:
+    """A tenth of the events are sequences, the rest requests."""
     e = read(s, d, "events").select("user_id", "event_id")
     tagged = e.where("event_id % 10 = 0").select("user_id", F.col("event_id").alias("tag"), (F.col("event_id") * 10).alias("seq"))
-    return gulps.sequence_at(e.where("event_id % 10 <> 0"), tagged, "event_id", "tag", ["user_id"]).withColumn("seq", F.coalesce("seq", F.lit(-1).cast("bigint")))
+    found = gulps.sequence_at(e.where("event_id % 10 <> 0"), tagged, "event_id", "tag", ["user_id"], which, 256)
+    return found.withColumn("seq", F.coalesce("seq", F.lit(-1).cast("bigint")))
+
+
+for _which, _sql in _AT.items():
+    query("sequence_at" if _which == "at" else f"sequence_{_which}", _sql)(lambda s, d, w=_which: _sequence_at(s, d, w))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -760,3 +774,24 @@ def _(s, d):
 def _(s, d):
     e = tensor_e(s, d)
     return elementwise.assign_part("a(time, k + 60) = b(time, k) * 2", e, {"b": shape.slice_axis(e, "k", 0, 4)}).df
+
+
+# ---- shapes that say the factors, few bits, bytes turned round, captures that end
+
+query("reduce_to_shape", f"WITH {V_SQL} SELECT time, freq // 2 AS freq, station // 4 AS station, pol, CAST(sum(re * re + im * im) / sqrt(count(*)) AS DOUBLE) AS value FROM V GROUP BY ALL")(
+    lambda s, d: reduce.reduce_to(tensor_v(s, d), {"freq": 2, "station": 1}, "pwrstderr").df
+)
+query("byteswap", "SELECT event_id AS frame, ((event_id * 7919 % 65536) % 256 * 256 + (event_id * 7919 % 65536) // 256)::BIGINT AS value FROM events")(
+    lambda s, d: _whole(shape.byteswap(TensorFrame(read(s, d, "events").select(F.col("event_id").alias("frame"), (F.col("event_id") * 7919 % 65536).alias("value")), TensorSpec.of("u16", Axis("frame", -1)))))
+)
+query("quantize_u1", "SELECT vec_id AS time, k, CASE WHEN CAST(v AS DOUBLE) >= 0 THEN 1 ELSE 0 END::BIGINT AS value FROM (SELECT vec_id, unnest(range(0, 64)) AS k, unnest(embedding) AS v FROM embeddings)")(
+    lambda s, d: _whole(codec.quantize(_raw(s, d), "u1", 20.0))
+)
+for _name, _low, _high in (("i2", -1, 1), ("u2", 0, 3)):
+    query(f"quantize_{_name}", f"SELECT vec_id AS time, k, CAST(round_even(greatest(least(CAST(v AS DOUBLE) * 20, {_high}), {_low}), 0) AS BIGINT) AS value FROM (SELECT vec_id, unnest(range(0, 64)) AS k, unnest(embedding) AS v FROM embeddings)")(
+        lambda s, d, t=_name: _whole(codec.quantize(_raw(s, d), t, 20.0))
+    )
+_ACTIVE = "A AS (SELECT event_id // 8 AS frame, event_id % 8 AS lane, (event_id // 8 // 7) % 3 AS chan0, (event_id // 8) % 5 < 3 AS up FROM events)"
+query("capture_ends", f"WITH {_ACTIVE} SELECT frame, lane, CASE WHEN NOT up AND was THEN 'ENDED' WHEN NOT up THEN 'NO_DATA' WHEN NOT was THEN 'STARTED' WHEN b <> chan0 THEN 'CHANGED' ELSE 'CONTINUED' END AS status FROM (SELECT *, lag(chan0) OVER w AS b, coalesce(lag(up) OVER w, false) AS was FROM A WINDOW w AS (PARTITION BY lane ORDER BY frame))")(
+    lambda s, d: gulps.capture_status(_chans(s, d).withColumn("on", F.col("frame") % 5 < 3), "frame", ["chan0"], ["lane"], "on").select("frame", "lane", "status")
+)

@@ -7,7 +7,7 @@ comparing a row with the one before it in its own block of frames.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -64,24 +64,49 @@ def sequence_starts(rows: DataFrame, order: str, key: list[str], lanes: list[str
     return joined.where(F.col("__before").isNull() | (F.struct(*key) != F.col("__before"))).drop("__before")
 
 
-def capture_status(rows: DataFrame, order: str, key: list[str], lanes: list[str], last: Column | None = None) -> DataFrame:
-    """``STARTED``, ``CHANGED`` or ``CONTINUED`` for each row of a lane."""
-    before = rows.select(*lanes, (F.col(order) + 1).alias(order), F.struct(*key).alias("__before"))
+def capture_status(rows: DataFrame, order: str, key: list[str], lanes: list[str], active: str | None = None) -> DataFrame:
+    """``STARTED``, ``CHANGED`` or ``CONTINUED`` for each row of a lane.
+
+    With the column ``active`` (whether data came), rows without data are
+    ``ENDED`` after one with data and else ``NO_DATA``, and the next row with
+    data is ``STARTED`` again.  ``order`` is a dense integer in each lane.
+    """
+    on = F.col(active) if active else F.lit(True)
+    before = rows.select(*lanes, (F.col(order) + 1).alias(order), F.struct(*key).alias("__before"), on.alias("__was"))
     joined = rows.join(before, [*lanes, order], "left")
-    status = F.when(F.col("__before").isNull(), "STARTED").when(F.struct(*key) != F.col("__before"), "CHANGED").otherwise("CONTINUED")
-    return joined.withColumn("status", status).drop("__before")
+    was = F.coalesce(F.col("__was"), F.lit(False))
+    status = F.when(~on & was, "ENDED").when(~on, "NO_DATA").when(~was, "STARTED").when(F.struct(*key) != F.col("__before"), "CHANGED").otherwise("CONTINUED")
+    return joined.withColumn("status", status).drop("__before", "__was")
 
 
-def sequence_at(requests: DataFrame, sequences: DataFrame, time: str, tag: str, lanes: list[str]) -> DataFrame:
+def sequence_at(requests: DataFrame, sequences: DataFrame, time: str, tag: str, lanes: list[str], which: str = "at", block: float = 4096) -> DataFrame:
     """For each request the sequence with the greatest ``tag`` not after ``time``.
 
-    Both sides go into one sorted stream of each lane, and a running maximum
-    of (tag, sequence) gives the answer; no pairs are made.  ``sequences`` has
-    the lanes, ``tag`` and ``seq``.
+    ``which`` may also be ``earliest`` or ``latest``, of the lane, or ``next``,
+    the one with the least ``tag`` after ``time``.  Both sides go into sorted
+    stretches of ``block`` units of time, in which a running maximum of (tag,
+    sequence) gives the answer; what a stretch begins with comes from one row
+    for each stretch before it.  No pairs are made, and no lane is sorted as a
+    whole.  ``sequences`` has the lanes, ``tag`` and ``seq``.
     """
-    a = requests.select(*requests.columns, F.col(time).alias("__t"), F.lit(1).alias("__kind"), F.lit(None).cast(sequences.schema[tag].dataType).alias("__tag"), F.lit(None).cast(sequences.schema["seq"].dataType).alias("__seq"))
+    kinds = {c: sequences.schema[c].dataType for c in (tag, "seq")}
+    pair = F.struct(F.col(tag).alias("__tag"), F.col("seq").alias("__seq"))
+    if which in ("earliest", "latest"):
+        ends = sequences.groupBy(*lanes).agg((F.min if which == "earliest" else F.max)(pair).alias("__f"))
+        return requests.join(ends, lanes, "left").select(*requests.columns, F.col("__f.__seq").alias("seq"))
+    if which not in ("at", "next"):
+        raise ValueError(f"unknown sequence {which!r}")
+    none = [F.lit(None).cast(kinds[c]).alias(f"__{'tag' if c == tag else 'seq'}") for c in (tag, "seq")]
+    a = requests.select(*requests.columns, F.col(time).alias("__t"), F.lit(1).alias("__kind"), *none)
     b = sequences.select(*lanes, F.col(tag).alias("__t"), F.lit(0).alias("__kind"), F.col(tag).alias("__tag"), F.col("seq").alias("__seq"))
-    w = Window.partitionBy(*lanes).orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = F.max(F.when(F.col("__tag").isNotNull(), F.struct("__tag", "__seq"))).over(w)
-    both = a.unionByName(b, allowMissingColumns=True).withColumn("__f", found).where("__kind = 1")
-    return both.select(*requests.columns, F.col("__f.__seq").alias("seq"))
+    both = a.unionByName(b, allowMissingColumns=True).withColumn("__b", F.floor(F.col("__t").cast("double") / block))
+    own = F.when(F.col("__tag").isNotNull(), F.struct("__tag", "__seq"))
+    if which == "at":
+        best, order, stretches = F.max, ["__t", "__kind"], [F.asc("__b")]
+    else:  # backwards in time, a request before the sequences of its own time
+        best, order, stretches = F.min, [F.desc("__t"), F.desc("__kind")], [F.desc("__b")]
+    within = Window.partitionBy(*lanes, "__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*lanes).orderBy(*stretches).rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(*lanes, "__b").agg(best(own).alias("__last")).withColumn("__carry", best("__last").over(before)).drop("__last")
+    found = both.withColumn("__f", best(own).over(within)).where("__kind = 1").join(carried, [*lanes, "__b"])
+    return found.select(*requests.columns, F.coalesce("__f", "__carry")["__seq"].alias("seq"))
