@@ -140,33 +140,49 @@ def with_following(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     The order is by ``key`` descending, nulls last, repeated keys by text
     hash; the follower of the last row is the first.  The keys are cut into
-    blocks at approximate quantiles.  A block is sorted in one partition, and
+    blocks at approximate quantiles, and a key (or null) that many rows have
+    into stretches of the text hash.  A block is sorted in one partition, and
     after its last row comes a guest (``guest`` true): the first row of the
     next block, of which there is one for each block, however large the table.
     So nothing but the blocks' borders passes through the driver, and each
-    text is shuffled once.  Rows with equal keys share a block.
+    text is shuffled once.  Equal rows share a block.
     """
     spark = docs.sparkSession
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     blocks = min(4 * wide, 4000)
-    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     shares = [(i + 1) / blocks for i in range(blocks - 1)]
     bounds = rows.agg(F.percentile_approx("key", shares, 20 * blocks)).head()[0] or []
     bounds = sorted({int(b) for b in bounds})
     block = F.when(F.col("key").isNull(), F.lit(-1)).otherwise(_rank(F.col("key"), bounds))
-    rows = rows.withColumn("block", block)
-    heads = sorted((r["block"], r["head"]) for r in rows.groupBy("block").agg(F.max("key").alias("head")).collect())
-    if not heads:
+    # rows of the block's highest possible key, which may be many; those without a key are such rows
+    top = F.col("key").isNull() | F.coalesce(F.col("key") == F.get(F.array(*[F.lit(b).cast("long") for b in bounds]), F.col("block")), F.lit(False))
+    rows = rows.withColumn("block", block).withColumn("top", top)
+    sizes = rows.groupBy("block").agg(F.count("*").alias("n"), F.sum(F.col("top").cast("int")).alias("top")).collect()  # as many rows as there are blocks
+    if not sizes:
         return rows.withColumn("guest", F.lit(False)), "block"
-    # the head of each block visits the block before it in the order, the very first one the last block
-    visits = [(head, heads[(i + 1) % len(heads)][0]) for i, (_, head) in enumerate(heads)]
-    small = spark.createDataFrame(visits, "head long, host int")  # as many rows as there are blocks
-    guests = rows.join(F.broadcast(small), F.col("key").eqNullSafe(F.col("head"))).select("key", "text", F.col("host").alias("block"), F.lit(True).alias("guest"))
+    fair = -(-sum(r["n"] for r in sizes) // blocks)
+    cut = {r["block"]: -(-r["top"] // fair) for r in sizes if r["top"] > 4 * fair}
+    stretch = F.lit(0)
+    for k, n in sorted(cut.items()):  # at most a quarter of the blocks
+        part = F.when(F.col("top"), F.floor((F.shiftright("hash", 32) + (1 << 31)) * n / (1 << 32)).cast("int")).otherwise(n)
+        stretch = F.when(F.col("block") == k, part).otherwise(stretch)
+    rows = rows.withColumn("stretch", stretch).drop("top")
+    # of each stretch the row that comes first: the highest key, the least hash
+    firsts = rows.groupBy("block", "stretch").agg(F.max(F.struct("key", F.bitwise_not(F.col("hash")).alias("flip"))).alias("head")).collect()  # at most twice as many as blocks
+    heads = sorted(((r["block"], -r["stretch"], r["head"]["key"], ~r["head"]["flip"]) for r in firsts), key=lambda h: h[:2])
+    place = {(b, -s): i for i, (b, s, *_) in enumerate(heads)}
+    # the head of each stretch visits the one before it in the order, the very first one the last
+    visits = [(k, h, (i + 1) % len(heads)) for i, (_, _, k, h) in enumerate(heads)]
+    small = spark.createDataFrame(visits, "head long, head_hash long, host int")  # as many rows as there are stretches
+    names = spark.createDataFrame([(b, s, i) for (b, s), i in place.items()], "block int, stretch int, place int")
+    own = rows.join(F.broadcast(names), ["block", "stretch"]).select("key", "text", "hash", F.col("place").alias("block"))
+    guests = rows.join(F.broadcast(small), F.col("key").eqNullSafe(F.col("head")) & (F.col("hash") == F.col("head_hash"))).select("key", "text", "hash", F.col("host").alias("block"), F.lit(True).alias("guest"))
     dealt = (
-        rows.withColumn("guest", F.lit(False))
+        own.withColumn("guest", F.lit(False))
         .unionByName(guests)
         .repartition(wide, "block")
-        .sortWithinPartitions("block", "guest", F.desc_nulls_last("key"), F.xxhash64("text"))
+        .sortWithinPartitions("block", "guest", F.desc_nulls_last("key"), "hash")
     )
     return dealt, "block"
 

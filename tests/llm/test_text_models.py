@@ -191,6 +191,25 @@ def test_edited(spark):
     assert winnow.compare_edited(repeated).count() == 4
 
 
+def test_edited_hot_keys(spark):
+    """A third of the rows without a key, a third with one key: they are split, and every row has its follower."""
+    rng = random.Random(4)
+    text = lambda: "".join(rng.choice("abcdef ") for _ in range(rng.randint(0, 60)))
+    rows = [(None, text()) for _ in range(150)] + [(50, text()) for _ in range(150)] + [(k, text()) for k in range(150)] + [(50, None)] * 3
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    dealt, block = winnow.with_following(table)
+    held = dealt.where(~F.col("guest")).groupBy(block).count().collect()
+    assert sum(r["count"] for r in held) == len(rows) and max(r["count"] for r in held) < 100
+    order = [(r.key, r.text) for r in dealt.where(~F.col("guest")).orderBy(F.desc_nulls_last("key"), "hash").collect()]
+    pairs = collections.Counter((k, t, after) for (k, t), (_, after) in zip(order, order[1:] + order[:1], strict=True))
+    got = collections.Counter()
+    for r in winnow.compare_edited(table).collect():
+        fits = [p for p in pairs if p[0] == r.doc_id and len(p[1]) == r.n_chars and hashlib.sha256((p[1][: len(p[1]) - len(p[1]) // 2] + p[2][: len(p[1]) // 2]).encode()).hexdigest() == r.edited_sha256]
+        assert fits
+        got[r.doc_id] += 1
+    assert got == collections.Counter(k for k, _ in rows)
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_backoff(spark, order):
     rng = random.Random(order)
