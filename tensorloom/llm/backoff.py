@@ -50,11 +50,16 @@ def ngrams(words: np.ndarray, order: int) -> list[np.ndarray]:
 
 
 def _packed(counts: np.ndarray) -> bytes:
-    return zlib.compress(counts.astype("<u4").tobytes(), 1)
+    """Counts, most of them small, as bytes; those from 255 on in full after them."""
+    low = np.minimum(counts, 255).astype(np.uint8)
+    return len(low).to_bytes(4, "little") + zlib.compress(low.tobytes() + counts[low == 255].astype("<u4").tobytes(), 1)
 
 
 def _unpacked(data: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(data), "<u4")
+    n, raw = int.from_bytes(data[:4], "little"), zlib.decompress(data[4:])
+    out = np.frombuffer(raw, np.uint8, n).astype(np.uint32)
+    out[out == 255] = np.frombuffer(raw, "<u4", offset=n)
+    return out
 
 
 def _packed_hashes(hashes: np.ndarray) -> bytes:
