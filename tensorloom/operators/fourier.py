@@ -1,16 +1,15 @@
 """Fourier transforms over axes of fixed size, not normalised.
 
 Two forms: ``dft`` joins the elements with a table of twiddle factors and sums,
-which is plain SQL and fits short axes; ``fft`` gathers a lane, the places of
-one axis with all others fixed, into an array and transforms batches of lanes
-in numpy.  A lane has the length of the axis, so groups stay small however
+which is plain SQL and fits short axes; ``fft`` gathers blocks of frames with all
+their lanes, the places of one axis with all others fixed, and transforms them
+as arrays.  A lane has the length of the axis, so a block stays small however
 long the stream is.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import replace
 
 import numpy as np
@@ -20,6 +19,7 @@ from pyspark.sql import functions as F
 from ..frame import TensorFrame
 from ..functions.units import inverse as inverse_unit
 from ..spec import Axis
+from .blocks import BLOCK, apply, column, frames_of_block, in_blocks, places, samples, schema_of, table
 from .shape import fftshift
 
 #: The twiddle table of a ``dft`` has the square of this many rows at most.
@@ -91,26 +91,27 @@ def _lanes(tf: TensorFrame, label: str, mode: str) -> TensorFrame:
     scale = int_scale(tf)
     real = mode == "irfft"
 
-    @F.arrow_udf("struct<re:array<double>,im:array<double>>")
-    def transform(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for lanes in batches:
-            flat = lanes.flatten()
-            x = np.zeros((len(lanes), n), complex)
-            row = np.repeat(np.arange(len(lanes)), np.diff(lanes.offsets.to_numpy()))
-            x[row, flat.field("k").to_numpy()] = flat.field("re").to_numpy() + 1j * flat.field("im").to_numpy()
-            y = {"fft": np.fft.fft, "ifft": lambda v: np.fft.ifft(v, norm="forward"), "rfft": lambda v: np.fft.rfft(v.real), "irfft": lambda v: np.fft.irfft(v, m, norm="forward")}[mode](x * scale)
-            ends = pa.array(np.arange(len(y) + 1, dtype=np.int32) * m)
-            parts = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(part).ravel())) for part in (y.real, y.imag if np.iscomplexobj(y) else np.zeros_like(y))]
-            yield pa.StructArray.from_arrays(parts, ["re", "im"])
-
-    x = tf.pair
-    cell = F.struct(F.col(label).alias("k"), x.re.cast("double").alias("re"), x.imag.cast("double").alias("im"))
-    lanes = tf.df.groupBy(*tf.over(label)).agg(F.collect_list(cell).alias("__x")).withColumn("__y", transform("__x"))
-    places = F.posexplode("__y.re" if real else F.arrays_zip("__y.re", "__y.im"))
-    rows = lanes.select(*tf.over(label), places.alias(label, "__v")).withColumn(label, F.col(label).cast("bigint"))
-    spec = tf.spec.with_axis(label, _out_axis(axis, m, None)).with_dtype("f64" if real else "cf64")
-    values = {"value": F.col("__v")} if real else {"re": F.col("__v.re"), "im": F.col("__v.im")}
-    return TensorFrame(rows.withColumns(values), spec, tf.keys)
+    lanes = [a for a in tf.spec.axes if not a.is_frame and a.label != label]
+    frame, shape, keys = tf.spec.frame.label, tuple(a.size for a in lanes), tf.keys
+    size = frames_of_block([axis, *lanes])
+    schema = schema_of(tf, tf.index, not real)
+
+    def run(group: pa.Table) -> pa.Table:
+        block = group.column(BLOCK)[0].as_py()
+        t = column(group, frame) - block * size
+        lane = np.ravel_multi_index(places(group, lanes), shape) if lanes else np.zeros(len(t), np.int64)
+        count = int(np.prod(shape, dtype=np.int64))
+        own, row = np.unique(t * count + lane, return_inverse=True)  # the lanes that are there
+        x = np.zeros((len(own), n), complex)
+        x[row, column(group, label)] = samples(group)
+        y = {"fft": np.fft.fft, "ifft": lambda v: np.fft.ifft(v, norm="forward"), "rfft": lambda v: np.fft.rfft(v.real), "irfft": lambda v: np.fft.irfft(v, m, norm="forward")}[mode](x * scale)
+        where = {frame: np.repeat(own // count + block * size, m), label: np.tile(np.arange(m), len(own))}
+        if lanes:
+            where |= {a.label: np.repeat(v, m) for a, v in zip(lanes, np.unravel_index(own % count, shape), strict=True)}
+        return table({k: group.column(k)[0].as_py() for k in keys}, where, y.ravel(), schema)
+
+    df = apply(in_blocks(tf, size), [*keys, BLOCK], run, schema)
+    return TensorFrame(df, tf.spec.with_axis(label, _out_axis(axis, m, None)).with_dtype("f64" if real else "cf64"), keys)
 
 
 def power_spectrum(tf: TensorFrame, axis: int | str) -> TensorFrame:
