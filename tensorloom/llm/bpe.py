@@ -9,9 +9,9 @@ bytes, and an encoding is valid iff each neighbouring pair of tokens is.  So
 the token that ends at a position is the one that starts at a live position
 and forms a valid pair with the token ending there.  What all live positions
 agree on is emitted; the lookahead is bounded by the longest entry.  States
-and arcs are made when first met.  When ``max_states`` are held all are dropped
-but the one the run is in, and made again as they are met, so memory is bounded
-and every piece is encoded by the transducer.
+and arcs are made when first met.  When ``max_states`` are held those of rare
+pieces are dropped, and made again as they are met, so memory is bounded and
+every piece is encoded by the transducer.
 
 Decoding is the inverse: a table look-up per token and an incremental UTF-8
 machine that holds back at most three bytes of an unfinished character.
@@ -88,7 +88,7 @@ class _Pieces(dict):
 class ByteBpe:
     """Encoder for one table of ranks."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = 80_000, max_pieces: int = 170_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, max_states: int = 120_000, max_pieces: int = 250_000):
         self.ranks = ranks
         self.table = {i: t for t, i in ranks.items()}
         # a trie of the entries: child by node and byte, entry (or -1) and whether it goes on by node
@@ -123,13 +123,24 @@ class ByteBpe:
         return known
 
     def _forget(self, s: _State) -> _State:
-        """Drop all states but ``s``, from which the run goes on, and begin anew."""
+        """Drop the states that end in one way only, which rare pieces made, or all if too few are so.
+
+        The state ``s``, from which the run goes on, and the first one stay.
+        """
+        kept = {ways: old for ways, old in self.states.items() if old.arcs}
+        if len(kept) > self.max_states // 2:
+            kept = {}
+        kept[self.root.ways], kept[s.ways] = self.root, s
         for old in self.states.values():
-            old.arcs = old.next = None  # states form rings, which would outlive their last use
-            old.byte = -1
-        self.states.clear()
-        self.root = self._state((-1, 0, ()))
-        return self._state(s.ways)
+            arcs = (old.arcs or {}) | ({old.byte: (old.out, old.next)} if old.next else {})
+            old.byte, old.out, old.next, old.arcs = -1, b"", None, None  # states form rings, which would outlive their last use
+            if old.ways in kept:
+                arcs = {byte: arc for byte, arc in arcs.items() if arc[1].ways in kept}
+                if arcs:
+                    old.byte, (old.out, old.next) = arcs.popitem()
+                old.arcs = arcs or None
+        self.states = kept
+        return s
 
     def merge(self, data: bytes, until: int = 1) -> list[bytes]:
         """Merge by rank until nothing merges, or ``until`` parts are left: the definition of BPE.
@@ -212,7 +223,7 @@ class ByteBpe:
                 last = here[same - 1]
                 live[1::2] = [c[same:] for c in chains]
         # where every way has a token after it, nothing will be asked of the last one
-        arc = _pack(here[:same]), self._state((-2 if live[1] else last, *live))
+        arc = _pack(here[:same]) if same else b"", self._state((-2 if live[1] else last, *live))
         if s.byte < 0:
             s.byte, (s.out, s.next) = byte, arc
         else:
