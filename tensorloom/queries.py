@@ -12,17 +12,19 @@ import uuid
 from collections.abc import Callable
 from dataclasses import replace
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frame import TensorFrame
 from .functions import jones
 from .functions.jones import Jones
-from .operators import codec, dispersion, elementwise, fir, fourier, linalg, reduce, shape, views
+from .operators import codec, custom, dispersion, elementwise, fir, fourier, linalg, reduce, shape, views
 from .sources import files, packets
 from .sources.headers import make_dada
 from .spec import Axis, TensorSpec
-from .streaming import gulps
+from .plans.pipeline import Chain
+from .streaming import gulps, stateful
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -795,3 +797,65 @@ _ACTIVE = "A AS (SELECT event_id // 8 AS frame, event_id % 8 AS lane, (event_id
 query("capture_ends", f"WITH {_ACTIVE} SELECT frame, lane, CASE WHEN NOT up AND was THEN 'ENDED' WHEN NOT up THEN 'NO_DATA' WHEN NOT was THEN 'STARTED' WHEN b <> chan0 THEN 'CHANGED' ELSE 'CONTINUED' END AS status FROM (SELECT *, lag(chan0) OVER w AS b, coalesce(lag(up) OVER w, false) AS was FROM A WINDOW w AS (PARTITION BY lane ORDER BY frame))")(
     lambda s, d: gulps.capture_status(_chans(s, d).withColumn("on", F.col("frame") % 5 < 3), "frame", ["chan0"], ["lane"], "on").select("frame", "lane", "status")
 )
+
+
+# ---- array functions, pictures, chains, text
+
+
+@query("array_function", f"WITH {X_SQL} SELECT frame, lane, CAST(q - sum(q) OVER (PARTITION BY frame // 16, lane) AS DOUBLE) AS value FROM X")
+def _(s, d):
+    return custom.apply_arrays(tensor_x(s, d), 16, lambda x: x - x.sum(axis=0), TensorSpec.of("f64", Axis("frame", -1), Axis("lane", 8))).df
+
+
+@query("array_functions", f"WITH {X_SQL}, Y AS (SELECT event_id // 8 AS frame, event_id % 8 AS lane, user_id AS u FROM events) SELECT frame, lane, CAST(q + u AS DOUBLE) AS both, CAST(t AS DOUBLE) AS total FROM X JOIN Y USING (frame, lane) JOIN (SELECT frame, sum(u) AS t FROM Y GROUP BY ALL) USING (frame)")
+def _(s, d):
+    """Two streams in, two out."""
+    spec = TensorSpec.of("f64", Axis("frame", -1), Axis("lane", 8))
+    both, total = custom.apply_many([tensor_x(s, d), _users(s, d)], 32, lambda x: [x[0] + x[1], x[1].sum(axis=1)], [spec, TensorSpec.of("f64", Axis("frame", -1))])
+    return both.df.withColumnRenamed("value", "both").join(total.df.withColumnRenamed("value", "total"), "frame")
+
+
+@query("waterfall", f"WITH {X_SQL} SELECT frame, " + ", ".join(f'max(q) FILTER (lane = {k}) AS "{k}"' for k in range(8)) + " FROM X GROUP BY ALL")
+def _(s, d):
+    return custom.waterfall(tensor_x(s, d), "lane")
+
+
+@query("spliced", f"WITH {X_SQL} SELECT 0::BIGINT AS seq, frame, lane, q AS value FROM X UNION ALL SELECT 1::BIGINT, frame, lane, 2 * q FROM X")
+def _(s, d):
+    x = tensor_x(s, d)
+    return custom.spliced(x, x.with_values(x.pair.re * 2, "i64")).df
+
+
+@query("array_source", "SELECT t AS frame, k, CAST(t * 10 + k AS DOUBLE) AS value FROM range(0, 30) a(t), range(0, 7) b(k)")
+def _(s, d):
+    return custom.from_array(s, np.arange(30.0)[:, None] * 10 + np.arange(7.0), TensorSpec.of("f64", Axis("frame", -1), Axis("k", 7))).df
+
+
+@query("chain", f"WITH {E_SQL} SELECT time // 5 AS time, k // 8 AS k, CAST(sum(q) AS DOUBLE) AS value FROM E GROUP BY ALL HAVING count(*) = 40")
+def _(s, d):
+    return Chain(tensor_e(s, d)).reduce("k", 8).accumulate(5).frame.df
+
+
+@query("file_text", f"WITH {X_SQL} SELECT frame, lane, q AS value FROM X")
+def _(s, d):
+    path = _folder(s, "text")
+    files.write_text(tensor_x(s, d), path)
+    return s.read.schema("frame bigint, lane bigint, value bigint").csv(f"{path}/data", header=True)
+
+
+# ---- the same operators on Structured Streaming, with their state
+
+
+def _streamed(s: SparkSession, d: str, operator) -> DataFrame:
+    """The events as a stream of files, through ``operator`` and into a table."""
+    schema = read(s, d, "events").schema
+    rows = s.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    rows = rows.select(F.expr("event_id div 8").alias("frame"), (F.col("event_id") % 8).alias("lane"), F.rint(F.col("value") * 100).alias("value"))
+    made, path = operator(rows), _folder(s, "stream")
+    made.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return s.read.schema(made.schema).parquet(f"{path}/rows")
+
+
+query("stream_accumulate", f"WITH {X_SQL} SELECT lane, frame // 10 AS frame, CAST(sum(q) AS DOUBLE) AS value FROM X GROUP BY ALL HAVING count(*) = 10")(lambda s, d: _streamed(s, d, lambda r: stateful.accumulate_stream(r, 10, horizon=1 << 40)))
+query("stream_fir", _fir_sql(1).replace("SELECT frame // 1 AS frame", "SELECT frame"))(lambda s, d: _streamed(s, d, lambda r: stateful.fir_stream(r, _TAPS)))
+query("stream_running", f"WITH {X_SQL} SELECT lane, frame, CAST(sum(q) OVER (PARTITION BY lane ORDER BY frame) AS DOUBLE) AS value FROM X")(lambda s, d: _streamed(s, d, stateful.running))

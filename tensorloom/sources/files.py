@@ -162,6 +162,8 @@ def read_guppi(spark: SparkSession, paths: list[str]) -> TensorFrame:
                 f.seek(at)
                 h, length = parse_cards(f.read(1 << 15))
                 first = first or h
+                if any(h.get(k) != first.get(k) for k in ("OBSNCHAN", "NPOL", "NBITS", "BLOCSIZE")):
+                    raise ValueError(f"blocks of different geometry in {path!r}; read them apart")
                 jobs.append((seq, path, n, at + length, h["BLOCSIZE"], h["OBSNCHAN"], h.get("NPOL", 2), h["NBITS"]))
                 at, n = at + length + h["BLOCSIZE"], n + 1
     npol = 1 if first.get("NPOL", 2) == 1 else 2

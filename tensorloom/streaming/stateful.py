@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def accumulate_stream(stream: DataFrame, nframe: int, lane: str = "lane", frame: str = "frame", value: str = "value") -> DataFrame:
+def accumulate_stream(stream: DataFrame, nframe: int, lane: str = "lane", frame: str = "frame", value: str = "value", horizon: int = 1024) -> DataFrame:
     """Sums of ``nframe`` frames of each lane, given out when complete.
 
     State: for each open integration its sum and count, so frames may come in
-    any order; an unfinished one at the end is not given out.
+    any order; an unfinished one at the end is not given out.  One that is
+    more than ``horizon`` integrations behind the lane's newest has lost
+    frames and is dropped, so the state is bounded.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -34,6 +36,9 @@ def accumulate_stream(stream: DataFrame, nframe: int, lane: str = "lane", frame:
                 if cell[1] >= nframe:
                     done.append((int(g), cell[0]))
                     del open_[int(g)]
+        if open_:
+            newest = max([*open_, *[g for g, _ in done]])
+            open_ = {g: c for g, c in open_.items() if g >= newest - horizon}
         state.update((list(open_), [c[0] for c in open_.values()], [c[1] for c in open_.values()]))
         yield pd.DataFrame({lane: [key[0]] * len(done), frame: [g for g, _ in done], value: [s for _, s in done]})
 
