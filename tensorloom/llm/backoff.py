@@ -10,7 +10,7 @@ included, so with ``min_count`` 2 an n-gram must also occur elsewhere.
 The counts are a table partitioned by hash.  A row for each n-gram of each
 document would be many times the corpus, so the exploded n-grams travel
 packed: documents are dealt into batches of about ``batch_bytes`` of text by
-hash; a batch sends each partition of the table its distinct n-grams with
+hash, compressed by the task that reads them; a batch sends each partition of the table its distinct n-grams with
 their counts, sorted, as differences, in one binary row; the partition sums them over batches
 and answers each row with the totals in the same order; the answers are joined
 to the batch's documents and summed by document.  A frequent n-gram is one
@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -78,6 +79,41 @@ def _unpacked_hashes(data: bytes) -> np.ndarray:
     return np.cumsum(steps.view("<u8").ravel(), dtype=np.uint64)
 
 
+def _blob(rows: pa.Table) -> bytes:
+    """Keys and texts, compressed."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        writer.write_table(rows.combine_chunks())
+    return sink.getvalue().to_pybytes()
+
+
+def _rows(blobs: pa.ChunkedArray) -> pa.Table:
+    """The rows of several blobs, in order of key and text, whatever order those came in."""
+    held = pa.concat_tables([pa.ipc.open_stream(b.as_py()).read_all() for b in blobs])
+    return held.sort_by([("key", "ascending"), ("text", "ascending")])
+
+
+def _dealt(batches: Iterator[pa.RecordBatch], most: int = 16_000_000) -> Iterator[pa.RecordBatch]:
+    """Rows ``batch``, ``key``, ``text`` as blobs by batch, of about ``most`` bytes of a task at a time."""
+
+    def out(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).sort_by("batch")
+        ids = rows["batch"].to_numpy()
+        ends = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+        blobs = [_blob(rows.slice(a, b - a).select(["key", "text"])) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(ids[ends[:-1]]), pa.array(blobs, pa.binary())], ["batch", "blob"])
+
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.nbytes
+        if size >= most:
+            yield out(held)
+            held, size = [], 0
+    if sum(b.num_rows for b in held):
+        yield out(held)
+
+
 def _grams(texts: pa.ChunkedArray, order: int) -> tuple[list[list[int]], np.ndarray]:
     """How many n-grams of each length each text has, and all their hashes in that order."""
     own = [ngrams(word_hashes(t.as_py()), order) for t in texts]
@@ -116,10 +152,10 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", or
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     batches, parts = max(1, size // batch_bytes), max(1, order * size // 6 // part_ngrams)
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("key", "text"), F.lit(batches)))
+    rows = rows.select(F.pmod(F.xxhash64("key", "text"), F.lit(batches)).alias("batch"), "key", "text").mapInArrow(_dealt, "batch long, blob binary")
 
     def request(group: pa.Table) -> pa.Table:
-        distinct, counts = np.unique(_grams(group["text"], order)[1], return_counts=True)
+        distinct, counts = np.unique(_grams(_rows(group["blob"])["text"], order)[1], return_counts=True)
         cuts = _cuts(distinct, parts)
         used = np.flatnonzero(np.diff(cuts))
         return pa.table({
@@ -140,7 +176,8 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", or
         return pa.table({"batch": group["batch"], "part": group["part"], "totals": pa.array(answers, pa.binary())})
 
     def score(group: pa.Table, answers: pa.Table) -> pa.Table:
-        sizes, grams = _grams(group["text"], order)
+        rows = _rows(group["blob"])
+        sizes, grams = _grams(rows["text"], order)
         at = np.unique(grams, return_inverse=True)[1]
         found = sorted(zip(answers["part"].to_pylist(), answers["totals"].to_pylist(), strict=True))
         counts = np.concatenate([np.zeros(0, np.uint32), *[_unpacked(t) for _, t in found]])[at].astype(np.float64)
@@ -150,7 +187,7 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", or
             values.append(scores([counts[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)], alpha, min_count, order))
             begin = ends[-1]
         return pa.table({
-            "key": group["key"],
+            "key": rows["key"],
             "value": pa.array([v[0] for v in values], pa.float64()),
             "n_unseen": pa.array([v[1] for v in values], pa.int64()),
             "n_words": pa.array([v[2] for v in values], pa.int64()),

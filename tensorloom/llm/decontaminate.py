@@ -26,8 +26,11 @@ words the subsequence must lie within its own length and two words more.
 Items are dealt with in blocks of about ``block`` rows, so what goes to the
 executors is bounded however large the benchmark is; each block is one pass.
 Documents are not shuffled.  A null text is an empty one; empty documents and
-items match nothing.  For an item without a key a hash of its text stands.
-Repeated rows give repeated results.
+items match nothing; empty tables give no rows.  For an item without a key a
+hash of its text stands; items that share a key are each looked for.  Repeated
+documents give repeated results, one row for each item they hold (of several
+places the one with the largest share).  Very long texts are searched whole, a
+stretch at a time.  Columns beside key and text are not read.
 """
 
 from __future__ import annotations

@@ -19,7 +19,9 @@ like others.  Character references are decoded; white space inside a block becom
 space; blocks are joined in page order by one space.  A null or empty page has
 an empty text.  Broken markup is read as far as it goes: an unknown closing
 tag is passed over, an unclosed one ends with its parent.  Repeated rows get
-equal results; other columns pass through.
+equal results; other columns pass through, but for one named as the output,
+which is replaced.  A very long page costs memory in proportion to itself only.
+An empty table has an empty result.
 """
 
 from __future__ import annotations

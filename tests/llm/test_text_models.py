@@ -313,3 +313,29 @@ def test_extraction(spark, chain):
     assert found >= 0.975 * total
     rows = spark.createDataFrame([(0, None, "x"), (1, "", "x"), (2, "<body><nav><a href=x>Home</a></nav><article><h1>A title here</h1><p>Some text, with words.</p></article><footer>&copy; Me</footer>", "x")], "page_id long, html string, text string")
     assert [r.text for r in extract.extract(rows, chain).collect()] == ["", "", "A title here Some text, with words."]
+    assert extract.extract(rows.limit(0), chain).count() == 0
+    twice = extract.extract(rows.unionByName(rows), chain).collect()
+    assert len(twice) == 6 and len({(r.page_id, r.text) for r in twice}) == 3
+    long = "<article>" + "<p>Some words of a long page, and more of them.</p>" * 20_000 + "</article><footer>&copy; x</footer>"
+    assert extract.main_text(long, chain).count("long page") == 20_000
+
+
+def test_languages_edges(spark):
+    texts = ["the cat and the dog sat on the mat with it"] * 30 + ["der hund und die katze auf dem tisch mit ihm"] * 30 + [None, "", "the cat and the dog " * 30_000]
+    langs = ["en"] * 30 + ["de"] * 30 + [None, "fr", None]
+    table = docs(spark, texts, langs)
+    model = langid.fit(table)
+    got = langid.identify(table.unionByName(table), model).select("doc_id", "__key", "language.*").collect()
+    assert len(got) == 2 * len(texts) and len({(r.doc_id, r.lang, r.score) for r in got}) == len(texts)
+    assert {r.lang for r in got if r.doc_id < 30} == {"en"} and {r.lang for r in got if 30 <= r.doc_id < 60} == {"de"}
+    assert [r.lang for r in sorted(got[: len(texts)])[-3:]] == ["und", "und", "en"] and got[0]["__key"] == "clash"
+    assert langid.identify(table.limit(0), model).count() == 0
+
+
+def test_urls_edges(spark):
+    empty = spark.createDataFrame([], "page_id long, url string, host int")
+    model = urlmodel.fit(empty)
+    assert urlmodel.judge(empty, model).count() == 0
+    rows = spark.createDataFrame([(1, "http://x.example.com/" + "a" * 100_000, 5), (1, "http://x.example.com/" + "a" * 100_000, 5), (None, None, None)], "page_id long, url string, host int")
+    got = urlmodel.judge(rows, model).collect()
+    assert [r.verdict for r in got] == ["allow"] * 3 and got[0].host == "x.example.com" and got[0] == got[1]
