@@ -82,7 +82,7 @@ def _unpacked_hashes(data: bytes) -> np.ndarray:
 def _blob(rows: pa.Table) -> bytes:
     """Keys and texts, compressed."""
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=9))) as writer:
         writer.write_table(rows.combine_chunks())
     return sink.getvalue().to_pybytes()
 
