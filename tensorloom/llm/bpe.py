@@ -113,9 +113,9 @@ class ByteBpe:
         self.root = self._state((-1, 0, ()))
 
     @classmethod
-    def load(cls, path: str, pattern: str) -> "ByteBpe":
+    def load(cls, path: str, pattern: str, **sizes: int) -> "ByteBpe":
         """The encoder of this worker: its tasks share the states."""
-        return held(("bpe", path, pattern), lambda: cls(read_ranks(path), pattern))
+        return held(("bpe", path, pattern, *sorted(sizes.items())), lambda: cls(read_ranks(path), pattern, **sizes))
 
     def _state(self, ways: tuple) -> _State:
         if (known := self.states.get(ways)) is None:
@@ -339,12 +339,12 @@ def decode_column(packed: Column | str, vocab: str) -> Column:
     return decode(packed)
 
 
-def round_trip_column(text: Column | str, vocab: str, pattern: str) -> Column:
+def round_trip_column(text: Column | str, vocab: str, pattern: str, **sizes: int) -> Column:
     """A struct of ``token_ids`` and what they decode to, ``decoded``."""
 
     @F.arrow_udf("struct<token_ids:binary,decoded:string>")
     def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encoder = ByteBpe.load(vocab, pattern)
+        encoder = ByteBpe.load(vocab, pattern, **sizes)
         decoder = ByteDecoder(encoder.table)
         for texts in batches:
             gc.disable()
@@ -357,10 +357,13 @@ def round_trip_column(text: Column | str, vocab: str, pattern: str) -> Column:
     return both(text)
 
 
-def bpe_round_trip(docs: DataFrame, vocab: str, pattern: str, text: str = "text", out: str = "bpe") -> DataFrame:
-    """``docs`` with the struct ``out``: encoded and decoded in one pass."""
+def bpe_round_trip(docs: DataFrame, vocab: str, pattern: str, text: str = "text", out: str = "bpe", **sizes: int) -> DataFrame:
+    """``docs`` with the struct ``out``: encoded and decoded in one pass.
+
+    ``sizes`` are ``max_states`` and ``max_pieces`` of :class:`ByteBpe`, what a worker holds.
+    """
     small_batches(docs.sparkSession)
-    return docs.withColumn(out, round_trip_column(F.col(f"`{text}`"), vocab, pattern))
+    return docs.withColumn(out, round_trip_column(F.col(f"`{text}`"), vocab, pattern, **sizes))
 
 
 def bpe_encode(docs: DataFrame, vocab: str, pattern: str, text: str = "text", out: str = "token_ids") -> DataFrame:
