@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Hashable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 T = TypeVar("T")
@@ -25,8 +28,15 @@ def held(key: Hashable, make: Callable[[], T]) -> T:
 
 
 def release() -> None:
-    """Forget what this worker holds for another operator."""
-    _HELD.clear()
+    """Forget what this worker holds for another operator, and give free memory back to the system."""
+    if _HELD:
+        _HELD.clear()
+        gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps what it has
+        pass
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
