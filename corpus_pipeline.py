@@ -60,7 +60,7 @@ def without_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (packed, 32 bits each) beside the documents' columns, and whether they decode to the text."""
     # other stages' workers stand beside these, so they hold less than the operator's own query does
-    both = bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, out="__bpe", max_states=50_000, max_pieces=100_000)
+    both = bpe_round_trip(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, out="__bpe", max_states=20_000, max_pieces=60_000)
     ids = F.col("__bpe.token_ids")
     same = F.col("__bpe.decoded") == F.coalesce("text", F.lit(""))
     return both.select(*docs.columns, ids.alias("token_ids"), (F.octet_length(ids) / 4).cast("long").alias("n_tokens"), same.alias("decodes"))
