@@ -6,7 +6,9 @@ import hashlib
 import math
 import random
 import struct
+import zlib
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -275,6 +277,26 @@ def test_urls_beyond_the_seeds(spark, sf):
     assert blocked[False][0] >= 500 and blocked[False][1] <= 0.01 * blocked[False][0]
 
 
+def test_urls_learn_from_all(spark):
+    """Tables are of every distinct URL that no rule decides: more of each label than any sample would hold."""
+    good = [f"http://{a}{k % 700}.example.com/{a}/{k}" for k in range(4200) for a in ("meadow", "river")]
+    bad = [f"http://ads{k % 300}.ads.example.com/win-{k}?cash={k * k}" for k in range(4500)]
+    rows = good + bad + good[:500] + ["http://x.net/ruled", None, ""]
+    model = urlmodel.fit(spark.createDataFrame([(u,) for u in rows], "url string"))
+    every = {*good, *bad, ""}
+    assert model.accepted.characters + model.rejected.characters == sum(len(u) + 1 for u in every)
+    assert model.rejected.characters == sum(len(u) + 1 for u in bad) and model.threshold == 0
+    dealt = [(u, zlib.crc32(u.split("/")[2].encode()) % 5 if u else 0, u in set(bad[:2000])) for u in sorted(every)]
+    apart = urlmodel._models(spark.createDataFrame(dealt, "url string, fold long, bad boolean").repartition(5), 5, True)
+    for fold, label in ((0, True), (3, False)):
+        contexts, full, _ = urlmodel._slots([u for u, f, b in dealt if f != fold and b == label])
+        tables = (apart[fold].rejected if label else apart[fold].accepted).tables
+        for k in range(urlmodel.ORDER + 1):
+            assert np.array_equal(tables[k, 0], np.bincount(full[k], minlength=urlmodel.BUCKETS))
+            assert np.array_equal(tables[k, 1], np.bincount(contexts[k], minlength=urlmodel.BUCKETS))
+            assert tables[k, 2].sum() == len(np.unique(full[k])) and np.all((tables[k, 2] > 0) <= (tables[k, 1] > 0))
+
+
 @pytest.fixture(scope="module")
 def chain():
     return extract.train()
