@@ -610,7 +610,7 @@ def _folder(spark: SparkSession, what: str) -> str:
 
 def _written(rows: DataFrame) -> list[str]:
     """The files of a write, in order."""
-    return sorted(r["file"] for r in rows.select("file").collect())
+    return sorted((r["file"] for r in rows.select("file").collect()), key=lambda f: (len(f), f))
 
 
 def _joined(tf: TensorFrame, frames: int) -> DataFrame:
@@ -679,8 +679,8 @@ def _(s, d):
     last = ((v.df.agg(F.max("time")).head()[0] or -1) + 1) // 5 * 5  # whole blocks
     df = v.df.where(F.col("time") < F.lit(int(last))).select(F.expr("time div 5").alias("time"), "freq", (F.col("time") % 5 * 4 + F.col("station")).alias("fine_time"), "pol", "re", "im")
     tf = TensorFrame(df, TensorSpec.of("ci8", Axis("time", -1), Axis("freq", 4, 1000.0, 1.0, "MHz"), Axis("fine_time", 20, 0.0, 1e-6, "s"), Axis("pol", 2)))
-    got = files.read_guppi(s, _written(files.write_guppi(tf, _folder(s, "raw"), "obs")))
-    return got.df.withColumn("time", F.col("seq") + F.col("time")).drop("seq")
+    got = files.read_guppi(s, _written(files.write_guppi(tf, _folder(s, "raw"), "obs", 1000)))
+    return got.df.withColumn("time", F.col("seq") * 1000 + F.col("time")).drop("seq")
 
 
 @query("file_serialized", f"WITH {V_SQL} SELECT * FROM V")

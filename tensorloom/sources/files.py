@@ -1,7 +1,8 @@
 """Files of fixed-size frames, read by ranges of frames and written by files.
 
-A file becomes as many partitions as it has chunks of about 32 MB of whole
-frames, so one long recording is read by the whole cluster.  A path is on a file
+A long file becomes as many partitions as it has chunks of about 32 MB of whole
+frames, so one recording is read by the whole cluster; many short files share
+partitions, and tasks read their headers.  A path is on a file
 system that driver and executors mount, or a URI (``hdfs://``, ``s3://``, ...) that
 Arrow's file systems open.  Samples of less than 8 bits are packed with the first in
 the lowest bits.  Writing rolls over to a new file
@@ -27,6 +28,8 @@ from ..spec import Axis, TensorSpec
 from .headers import Layout, make_sigproc, make_wav, parse_cards, parse_dada, sigproc_layout, wav_layout
 
 CHUNK = 32 << 20
+FEW = 32  # files whose headers the driver reads itself
+SAMPLES = 1 << 20  # of voltages: in a batch, and about as many in a file
 
 
 def _open(path: str):
@@ -42,6 +45,20 @@ def _size(path: str) -> int:
         return f.seek(0, os.SEEK_END)
 
 
+def _jobs(spark: SparkSession, paths: list[str], look: Callable[[int, str], list[tuple]]) -> list[tuple]:
+    """What ``look`` makes of each file and its number: a job for each chunk."""
+    if len(paths) <= FEW:
+        return [job for seq, path in enumerate(paths) for job in look(seq, path)]
+    sc = spark.sparkContext
+    return sc.parallelize(list(enumerate(paths)), max(sc.defaultParallelism, len(paths) // 256)).flatMap(lambda x: look(*x)).collect()
+
+
+def _dealt(spark: SparkSession, jobs: list[tuple], schema: str, nbyte: int) -> DataFrame:
+    """The jobs, dealt to tasks: one in each, or if they are short about a megabyte."""
+    parts = min(len(jobs), max(spark.sparkContext.defaultParallelism, nbyte >> 20))
+    return spark.createDataFrame(jobs, schema).repartition(max(1, parts))
+
+
 def unpacked(data: bytes, dtype: str, bits: int) -> np.ndarray:
     """Samples of ``bits`` bits; of less than 8 the first is in the lowest bits."""
     if bits >= 8:
@@ -64,16 +81,18 @@ def packed(values: np.ndarray, dtype: str, bits: int) -> bytes:
 def read_frames(spark: SparkSession, paths: list[str], layout_of: Callable[[bytes], Layout], chunk: int = CHUNK) -> TensorFrame:
     """Frames of one or more files, each a sequence ``seq``; short tails are dropped.
 
-    The driver reads headers only; tasks read ranges of frames.
+    Tasks read ranges of frames; of many files also the headers.
     """
-    jobs, spec = [], None
-    for seq, path in enumerate(paths):
+    def look(seq: int, path: str) -> list[tuple]:
         with _open(path) as f:
             layout = layout_of(f.read(1 << 16))
-        spec = spec or layout.spec
-        frames = (_size(path) - layout.offset) // layout.frame_bytes
+            frames = (f.seek(0, os.SEEK_END) - layout.offset) // layout.frame_bytes
         step = max(1, chunk // layout.frame_bytes)
-        jobs += [(seq, path, a, min(a + step, frames), layout.offset, layout.frame_bytes, layout.dtype, layout.spec.dtype.nbit, list(layout.shape)) for a in range(0, frames, step)]
+        return [(seq, path, a, min(a + step, frames), layout.offset, layout.frame_bytes, layout.dtype, layout.spec.dtype.nbit, list(layout.shape)) for a in range(0, frames, step)]
+
+    with _open(paths[0]) as f:
+        spec = layout_of(f.read(1 << 16)).spec
+    jobs = _jobs(spark, paths, look)
     labels = [a.label for a in spec.axes]
     kind = "double" if spec.dtype.is_floating else "bigint"
 
@@ -89,7 +108,8 @@ def read_frames(spark: SparkSession, paths: list[str], layout_of: Callable[[byte
                 columns = [np.full(x.size, job["seq"]), *places, x.ravel().astype("f8" if kind == "double" else "i8")]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["seq", *labels, "value"])
 
-    table = spark.createDataFrame(jobs, "seq long, path string, start long, stop long, offset long, frame_bytes long, dtype string, bits int, shape array<long>").repartition(max(1, len(jobs)))
+    schema = "seq long, path string, start long, stop long, offset long, frame_bytes long, dtype string, bits int, shape array<long>"
+    table = _dealt(spark, jobs, schema, sum((job[3] - job[2]) * job[5] for job in jobs))
     rows = table.mapInArrow(load, f"seq long, {', '.join(f'`{c}` long' for c in labels)}, value {kind}")
     return TensorFrame(rows, spec, ("seq",))
 
@@ -126,10 +146,13 @@ def read_dada(spark: SparkSession, paths: list[str], spec_of: Callable[[dict], T
 
 def read_packets(spark: SparkSession, paths: list[str], packet_bytes: int, chunk: int = CHUNK) -> DataFrame:
     """Recorded packets of one size: ``file``, ``number`` and ``packet``."""
-    step, jobs = max(1, chunk // packet_bytes), []
-    for k, path in enumerate(paths):
+    step = max(1, chunk // packet_bytes)
+
+    def look(k: int, path: str) -> list[tuple]:
         n = _size(path) // packet_bytes
-        jobs += [(k, path, a, min(a + step, n)) for a in range(0, n, step)]
+        return [(k, path, a, min(a + step, n)) for a in range(0, n, step)]
+
+    jobs = _jobs(spark, paths, look)
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,7 +162,7 @@ def read_packets(spark: SparkSession, paths: list[str], packet_bytes: int, chunk
                     held = [f.read(packet_bytes) for _ in range(job["stop"] - job["start"])]
                 yield pa.RecordBatch.from_arrays([pa.array([job["file"]] * len(held), pa.int64()), pa.array(range(job["start"], job["stop"]), pa.int64()), pa.array(held, pa.binary())], ["file", "number", "packet"])
 
-    table = spark.createDataFrame(jobs, "file long, path string, start long, stop long").repartition(max(1, len(jobs)))
+    table = _dealt(spark, jobs, "file long, path string, start long, stop long", packet_bytes * sum(job[3] - job[2] for job in jobs))
     return table.mapInArrow(load, "file long, number long, packet binary")
 
 
@@ -149,23 +172,33 @@ def write_text(tf: TensorFrame, path: str) -> None:
     tf.df.sparkSession.createDataFrame([(tf.spec.pretty(),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/header")
 
 
-def read_guppi(spark: SparkSession, paths: list[str]) -> TensorFrame:
+def read_guppi(spark: SparkSession, paths: list[str], chunk: int = CHUNK) -> TensorFrame:
     """Voltage files as (time, freq, fine_time, pol): a block is a frame.
 
-    The driver reads the blocks' headers; a task reads a block.
+    Blocks are found by their headers, in tasks if there are many files; a task
+    reads a chunk of blocks.
     """
-    jobs, first = [], None
-    for seq, path in enumerate(paths):
-        at, size, n = 0, _size(path), 0
+    with _open(paths[0]) as f:
+        first = parse_cards(f.read(1 << 15))[0]
+    geometry = {k: first.get(k) for k in ("OBSNCHAN", "NPOL", "NBITS", "BLOCSIZE")}
+
+    def look(seq: int, path: str) -> list[tuple]:
+        out, n, begin = [], 0, 0  # (seq, path, first block, its place, blocks, bytes)
         with _open(path) as f:
+            at, size = 0, f.seek(0, os.SEEK_END)
             while at < size:
                 f.seek(at)
                 h, length = parse_cards(f.read(1 << 15))
-                first = first or h
-                if any(h.get(k) != first.get(k) for k in ("OBSNCHAN", "NPOL", "NBITS", "BLOCSIZE")):
+                if any(h.get(k) != v for k, v in geometry.items()):
                     raise ValueError(f"blocks of different geometry in {path!r}; read them apart")
-                jobs.append((seq, path, n, at + length, h["BLOCSIZE"], h["OBSNCHAN"], h.get("NPOL", 2), h["NBITS"]))
+                if not out or at + length + h["BLOCSIZE"] - begin > chunk:
+                    begin = at
+                    out.append((seq, path, n, at, 0, 0))
                 at, n = at + length + h["BLOCSIZE"], n + 1
+                out[-1] = (*out[-1][:4], n - out[-1][2], at - begin)
+        return out
+
+    jobs = _jobs(spark, paths, look)
     npol = 1 if first.get("NPOL", 2) == 1 else 2
     nchan, nbits = first["OBSNCHAN"], first["NBITS"]
     fine = first["BLOCSIZE"] * 8 // (nchan * npol * 2 * nbits)
@@ -174,40 +207,57 @@ def read_guppi(spark: SparkSession, paths: list[str]) -> TensorFrame:
     if nbits not in (8, 16):
         raise ValueError(f"{nbits} bits")
 
+    together = max(1, SAMPLES // (nchan * fine * npol))
+
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for job in batch.to_pylist():
                 with _open(job["path"]) as f:
-                    f.seek(job["at"])
-                    x = np.frombuffer(f.read(job["size"]), f"<i{nbits // 8}").reshape(nchan, fine, npol, 2)
-                places = np.indices(x.shape[:3]).reshape(3, -1)
-                flat = x.reshape(-1, 2).astype("i8")
-                columns = [np.full(len(flat), job["seq"]), np.full(len(flat), job["frame"]), *places, flat[:, 0], flat[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["seq", "time", "freq", "fine_time", "pol", "re", "im"])
-
-    table = spark.createDataFrame(jobs, "seq long, path string, frame long, at long, size long, nchan long, npol long, nbits long").repartition(max(1, len(jobs)))
+                    at = job["at"]
+                    for start in range(0, job["blocks"], together):
+                        data = []
+                        for _ in range(min(together, job["blocks"] - start)):
+                            f.seek(at)
+                            at += parse_cards(f.read(1 << 15))[1]
+                            f.seek(at)
+                            data.append(f.read(first["BLOCSIZE"]))
+                            at += first["BLOCSIZE"]
+                        x = np.frombuffer(b"".join(data), f"<i{nbits // 8}").reshape(len(data), nchan, fine, npol, 2)
+                        places = np.indices(x.shape[:4]).reshape(4, -1)
+                        places[0] += job["first"] + start
+                        flat = x.reshape(-1, 2).astype("i8")
+                        columns = [np.full(len(flat), job["seq"]), *places, flat[:, 0], flat[:, 1]]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["seq", "time", "freq", "fine_time", "pol", "re", "im"])
+
+    table = _dealt(spark, jobs, "seq long, path string, first long, at long, blocks long, nbyte long", sum(job[5] for job in jobs))
     return TensorFrame(table.mapInArrow(load, "seq long, time long, freq long, fine_time long, pol long, re long, im long"), spec, ("seq",))
 
 
-def write_frames(tf: TensorFrame, folder: str, name: str, header_of: Callable[[int, int], bytes], dtype: str, frames_per_file: int, ext: str) -> DataFrame:
+def write_frames(tf: TensorFrame, folder: str, name: str, header_of: Callable[[int, int], bytes], dtype: str, frames_per_file: int, ext: str, blocks: bool = False) -> DataFrame:
     """Files ``name.NNNNNN.ext``, each of at most ``frames_per_file`` frames.
 
-    ``header_of(first_frame, nbyte)`` gives a file's header.  A file is written
+    ``header_of(first_frame, nbyte)`` gives a file's header, or with ``blocks``
+    the header of each frame in it.  A file is written
     under another name and then renamed, so a task that is run twice does no
     harm.  Rows: file and bytes.
     """
     os.makedirs(folder, exist_ok=True)
-    bits = tf.spec.dtype.nbit
+    bits, columns = tf.spec.dtype.nbit, list(tf.values)
     frame, others = tf.spec.frame.label, [a.label for a in tf.spec.axes if not a.is_frame]
 
     def write(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values([frame, *others])
-        data = packed(rows["value"].to_numpy(), dtype, bits)
-        path = f"{folder}/{name}.{key[0]:06d}.{ext}"
+        times, values = rows[frame].to_numpy(), rows[columns].to_numpy()
+        cuts = np.flatnonzero(np.diff(times)) + 1 if blocks else []
+        firsts = times[[0, *cuts]] if blocks else [int(key[0]) * frames_per_file]
+        nbyte, path = 0, f"{folder}/{name}.{key[0]:06d}.{ext}"
         with open(f"{path}.{os.getpid()}.part", "wb") as f:
-            f.write(header_of(int(key[0]) * frames_per_file, len(data)) + data)
+            for first, part in zip(firsts, np.split(values, cuts), strict=True):
+                data = packed(part.ravel(), dtype, bits)
+                f.write(header_of(int(first), len(data)) + data)
+                nbyte += len(data)
         os.replace(f.name, path)
-        return pd.DataFrame({"file": [path], "nbyte": [len(data)]})
+        return pd.DataFrame({"file": [path], "nbyte": [nbyte]})
 
     rows = tf.df.withColumn("__file", F.expr(f"`{frame}` div {frames_per_file}"))
     return rows.groupBy("__file").applyInPandas(write, "file string, nbyte long")
@@ -260,19 +310,16 @@ def write_dispersion(tf: TensorFrame, folder: str, name: str, frames_per_file: i
     return out
 
 
-def write_guppi(tf: TensorFrame, folder: str, name: str) -> DataFrame:
-    """(time, freq, fine_time, pol) voltages as files of one block, a frame each."""
+def write_guppi(tf: TensorFrame, folder: str, name: str, blocks_per_file: int | None = None) -> DataFrame:
+    """(time, freq, fine_time, pol) voltages as files of blocks, a frame each; by default of about a million samples."""
     time, freq, fine, pol = tf.spec.axes
     d = tf.spec.dtype
-    parts = F.explode(F.array(F.struct(F.lit(0).cast("bigint").alias("part"), F.col("re").alias("value")), F.struct(F.lit(1).cast("bigint").alias("part"), F.col("im").alias("value"))))
-    rows = tf.df.withColumn("__p", parts).select(*tf.index, "__p.part", "__p.value")
-    flat = TensorFrame(rows, replace(tf.spec.with_dtype(d.as_real()), axes=(*tf.spec.axes, Axis("part", 2))), tf.keys)
 
     def header(_: int, nbyte: int) -> bytes:
         cards = {"BLOCSIZE": nbyte, "OBSNCHAN": freq.size, "NPOL": 4 if pol.size == 2 else 1, "NBITS": d.nbit, "TBIN": fine.step, "OBSFREQ": freq.start + freq.step * (freq.size - 1) / 2, "OBSBW": freq.step * freq.size}
         return b"".join(f"{k:<8}= {v!r:>20}".ljust(80).encode() for k, v in cards.items()) + b"END".ljust(80)
 
-    return write_frames(flat, folder, name, header, f"<i{d.nbit // 8}", 1, "raw")
+    return write_frames(tf, folder, name, header, f"<i{d.nbit // 8}", blocks_per_file or max(1, SAMPLES // (freq.size * fine.size * pol.size)), "raw", blocks=True)
 
 
 def write_packets(packets: DataFrame, folder: str, name: str, order: str, packets_per_file: int = 1 << 18, packet: str = "packet") -> DataFrame:

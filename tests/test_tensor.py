@@ -275,6 +275,40 @@ def test_guppi(spark, tmp_path):
     assert np.array_equal(got, x[..., 0] + 1j * x[..., 1])
 
 
+def test_voltage_files_of_many_blocks(spark, tmp_path):
+    """Blocks share files, files share tasks, and long files are cut."""
+    z = RNG.integers(-100, 100, (90, 2, 4, 2)) + 1j * RNG.integers(-100, 100, (90, 2, 4, 2))
+    tf = frame_of(spark, z, ["time", "freq", "fine_time", "pol"], dtype="ci8")
+    written = sorted(r.file for r in files.write_guppi(tf, str(tmp_path / "two"), "obs", 2).collect())
+    assert len(written) == 45 > files.FEW
+    back = files.read_guppi(spark, written)
+    assert back.df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    one = TensorFrame(back.df.withColumn("time", F.col("time") + 2 * F.col("seq")), back.spec)
+    assert np.array_equal(array_of(one, z.shape), z) and back.df.count() == z.size
+    [whole] = [r.file for r in files.write_guppi(tf, str(tmp_path / "all"), "obs").collect()]
+    back = files.read_guppi(spark, [whole], chunk=10_000)
+    assert back.df.rdd.getNumPartitions() > 1
+    assert np.array_equal(array_of(TensorFrame(back.df, back.spec), z.shape), z) and back.df.count() == z.size
+    odd = tmp_path / "odd.raw"
+    odd.write_bytes(open(whole, "rb").read().replace(b"NBITS   =                    8", b"NBITS   =                   16", 1))
+    with pytest.raises(ValueError):
+        files.read_guppi(spark, [whole, str(odd)])
+
+
+def test_many_short_files_share_tasks(spark, tmp_path):
+    x = RNG.integers(0, 100, (80, 2, 4)).astype(float)
+    tf = frame_of(spark, x, ["time", "pol", "freq"], dtype="u8")
+    back = files.read_sigproc(spark, sorted(r.file for r in files.write_sigproc(tf, str(tmp_path / "fil"), "obs", 2).collect()))
+    assert back.df.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    one = TensorFrame(back.df.withColumn("time", F.col("time") + 2 * F.col("seq")), back.spec)
+    assert np.array_equal(array_of(one, x.shape), x)
+    rows = spark.range(200).select("id", F.unhex(F.lpad(F.hex("id"), 16, "0")).alias("packet"))
+    paths = sorted(r.file for r in files.write_packets(rows, str(tmp_path / "pkt"), "p", "id", 4).collect())
+    got = files.read_packets(spark, paths, 8)
+    assert len(paths) == 50 and got.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert sorted((r.file * 4 + r.number, int.from_bytes(r.packet, "big")) for r in got.collect()) == [(k, k) for k in range(200)]
+
+
 def test_baseband_packets_and_text(spark, tmp_path):
     x = RNG.integers(-50, 50, (20, 3)).astype("i2")
     path = tmp_path / "b.dada"
